@@ -352,3 +352,78 @@ def q_bridges(spark, sf_dir):
 
 
 FLAGSHIP = "bridges"
+
+
+# ---------------------------------------------------------------------------
+# M4: word co-occurrence network
+# ---------------------------------------------------------------------------
+
+def cooc_inputs(spark, sf_dir):
+    """(windows, top_words DataFrame, total pair count) - memoised per session."""
+    from ..operators import cooccur as CO
+    key = ("cooc", spark.sparkContext.applicationId, sf_dir)
+    if key not in _SIM_CACHE:
+        toks = net_tokens(spark, sf_dir)
+        stats = vocab.word_stats(toks)
+        top = vocab.top_by(vocab.candidates(stats, 8, 3), 400, "freq", "word")
+        words = [r[0] for r in top.select("word").collect()]  # at most 400 words
+        win = CO.windows(toks, words)
+        pairs = CO.pair_counts(win)
+        total = pairs.agg(F.sum("n")).first()[0] or 0
+        _SIM_CACHE[key] = (win, top, pairs, total)
+    return _SIM_CACHE[key]
+
+
+def _scored(spark, sf_dir):
+    from ..operators import cooccur as CO
+    win, top, pairs, total = cooc_inputs(spark, sf_dir)
+    return CO.npmi(pairs, CO.anchor_counts(win), total)
+
+
+@query("cooc_counts", S.COOC + """
+SELECT w1, w2, CAST(n AS BIGINT) AS n FROM pairs
+""")
+def q_cooc_counts(spark, sf_dir):
+    """Windows (anchor + 9 following tokens) holding each top-400 word pair."""
+    _, _, pairs, _ = cooc_inputs(spark, sf_dir)
+    return pairs
+
+
+@query("anchor_windows", S.COOC + """
+SELECT word, CAST(windows AS BIGINT) AS windows FROM anc
+""")
+def q_anchor_windows(spark, sf_dir):
+    """Windows anchored by each vocabulary word that hold at least one partner."""
+    from ..operators import cooccur as CO
+    win, _, _, _ = cooc_inputs(spark, sf_dir)
+    return CO.anchor_counts(win)
+
+
+@query("npmi_edges", S.COOC + """
+SELECT w1, w2, CAST(n AS BIGINT) AS n, round(pmi, 6) AS pmi, round(npmi, 6) AS npmi FROM scored
+""")
+def q_npmi_edges(spark, sf_dir):
+    """Pairs with count >= 3 and positive PMI, with NPMI (anchor marginals)."""
+    s = _scored(spark, sf_dir)
+    return s.select("w1", "w2", "n", F.round("pmi", 6).alias("pmi"), F.round("npmi", 6).alias("npmi"))
+
+
+@query("word_graph", S.COOC + """
+SELECT w1, w2, round(npmi, 6) AS npmi, CAST(rank AS BIGINT) AS rank FROM top_edges
+""")
+def q_word_graph(spark, sf_dir):
+    """The 600 strongest NPMI edges of the word network."""
+    from ..operators import cooccur as CO
+    e = CO.top_edges(_scored(spark, sf_dir))
+    return e.select("w1", "w2", F.round("npmi", 6).alias("npmi"), "rank")
+
+
+@query("word_degree", S.COOC + """
+SELECT word, CAST(degree AS BIGINT) AS degree FROM nodes
+""")
+def q_word_degree(spark, sf_dir):
+    """Network nodes with their degree, isolated top-100 words included."""
+    from ..operators import cooccur as CO
+    _, top, _, _ = cooc_inputs(spark, sf_dir)
+    e = CO.top_edges(_scored(spark, sf_dir))
+    return CO.graph_nodes(e, top)

@@ -151,3 +151,48 @@ def shared_terms(edges: str, n: int = 4) -> str:
     JOIN wts y ON y.doc_id = e.doc_b AND y.term = x.term
   ) WHERE rn <= {n} GROUP BY doc_a, doc_b
 )"""
+
+# Co-occurrence windows over the top-400 vocabulary (a real window frame).
+COOC = NET_STATS + """,
+top400 AS (
+  SELECT word, freq, doc_freq, row_number() OVER (ORDER BY freq DESC, word) AS rank
+  FROM net_stats WHERE freq >= 8 AND doc_freq >= 3 ORDER BY freq DESC, word LIMIT 400
+),
+pos AS (SELECT doc_id, unnest(tokens) AS word, unnest(range(1, len(tokens) + 1)) AS p FROM net_tokens),
+vpos AS (
+  SELECT pos.doc_id, pos.p, CASE WHEN t.word IS NOT NULL THEN pos.word END AS vw
+  FROM pos LEFT JOIN top400 t ON t.word = pos.word
+),
+win AS (
+  SELECT doc_id, p, vw AS anchor,
+         list_distinct(list_filter(list(vw) OVER (PARTITION BY doc_id ORDER BY p
+                                                  ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING),
+                                   lambda x: x IS NOT NULL AND x <> vw)) AS partners
+  FROM vpos
+),
+anchors AS (SELECT * FROM win WHERE anchor IS NOT NULL AND len(partners) > 0),
+pairs AS (
+  SELECT least(anchor, q) AS w1, greatest(anchor, q) AS w2, count(*) AS n
+  FROM (SELECT anchor, unnest(partners) AS q FROM anchors) GROUP BY 1, 2
+),
+anc AS (SELECT anchor AS word, count(*) AS windows FROM anchors GROUP BY 1),
+tot AS (SELECT sum(n) AS total FROM pairs),
+scored AS (
+  SELECT w1, w2, n, pmi, CASE WHEN pp >= 1.0 THEN 1.0 ELSE pmi / (-log2(pp)) END AS npmi FROM (
+    SELECT p.w1, p.w2, p.n, p.n / tot.total AS pp,
+           log2((p.n / tot.total) / ((a1.windows / tot.total) * (a2.windows / tot.total))) AS pmi
+    FROM pairs p, tot JOIN anc a1 ON a1.word = p.w1 JOIN anc a2 ON a2.word = p.w2
+    WHERE p.n >= 3 AND a1.windows > 0 AND a2.windows > 0)
+  WHERE pmi > 0
+),
+top_edges AS (
+  SELECT w1, w2, n, npmi, row_number() OVER (ORDER BY round(npmi, 9) DESC, w1, w2) AS rank
+  FROM scored ORDER BY round(npmi, 9) DESC, w1, w2 LIMIT 600
+),
+ends AS (SELECT w1 AS word FROM top_edges UNION ALL SELECT w2 FROM top_edges),
+deg AS (SELECT word, count(*) AS degree FROM ends GROUP BY word),
+nodes AS (
+  SELECT word, degree FROM deg
+  UNION ALL
+  SELECT word, 0 FROM top400 WHERE rank <= 100 AND word NOT IN (SELECT word FROM deg)
+)"""
