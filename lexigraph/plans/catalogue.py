@@ -427,3 +427,269 @@ def q_word_degree(spark, sf_dir):
     _, top, _, _ = cooc_inputs(spark, sf_dir)
     e = CO.top_edges(_scored(spark, sf_dir))
     return CO.graph_nodes(e, top)
+
+
+# ---------------------------------------------------------------------------
+# M5: lexicon scores, topic tables, word categories and sizes
+# ---------------------------------------------------------------------------
+
+def derived_lexicon(c: DataFrame) -> DataFrame:
+    """Stand-in lexicon from the corpus words: words with an even first
+    character code, scores from the code and the length."""
+    w = c.select(F.explode(T.tokens_lexicon("text")).alias("word")).distinct()
+    a, n = F.ascii("word"), F.length("word")
+    return w.where(a % 2 == 0).select(
+        "word", (F.lit(1.0) + a % 9).alias("valence"), (F.lit(1.0) + n % 9).alias("arousal"),
+        (F.lit(1.0) + (a + n) % 9).alias("dominance"))
+
+
+def _lex_scores(spark, sf_dir):
+    from ..operators import lexicon as LX
+    c = corpus(spark, sf_dir)
+    s = LX.score_documents(c, derived_lexicon(c))
+    return s.join(c.select("doc_id", "place"), "doc_id")
+
+
+_R6 = lambda c: F.round(c, 6).alias(c)
+
+
+@query("lexicon_scores", S.LEXICON + """
+SELECT doc_id, round(valence, 6) AS valence, round(arousal, 6) AS arousal, round(dominance, 6) AS dominance,
+       CAST(matched AS BIGINT) AS matched, round(coverage, 6) AS coverage FROM scores
+""")
+def q_lexicon_scores(spark, sf_dir):
+    """Mean valence/arousal/dominance over matched token occurrences, per document."""
+    s = _lex_scores(spark, sf_dir)
+    return s.select("doc_id", _R6("valence"), _R6("arousal"), _R6("dominance"), "matched", _R6("coverage"))
+
+
+@query("lexicon_summary", S.LEXICON + """
+SELECT CAST(count(*) AS BIGINT) AS n_docs,
+  round(min(valence), 6) AS valence_min, round(max(valence), 6) AS valence_max, round(avg(valence), 6) AS valence_mean,
+  round(min(arousal), 6) AS arousal_min, round(max(arousal), 6) AS arousal_max, round(avg(arousal), 6) AS arousal_mean,
+  round(min(dominance), 6) AS dominance_min, round(max(dominance), 6) AS dominance_max, round(avg(dominance), 6) AS dominance_mean,
+  round(avg(coverage), 6) AS coverage_mean
+FROM scores
+""")
+def q_lexicon_summary(spark, sf_dir):
+    """Range and mean of each score and the mean coverage."""
+    from ..operators import lexicon as LX
+    s = LX.summary(_lex_scores(spark, sf_dir))
+    return s.select("n_docs", *[_R6(c) for c in s.columns if c != "n_docs"])
+
+
+@query("lexicon_by_topic", S.LEXICON + """
+SELECT place AS topic,
+  round(avg(valence), 6) AS valence_mean, round(stddev_samp(valence), 6) AS valence_std, CAST(count(valence) AS BIGINT) AS valence_count,
+  round(avg(arousal), 6) AS arousal_mean, round(stddev_samp(arousal), 6) AS arousal_std, CAST(count(arousal) AS BIGINT) AS arousal_count,
+  round(avg(dominance), 6) AS dominance_mean, round(stddev_samp(dominance), 6) AS dominance_std, CAST(count(dominance) AS BIGINT) AS dominance_count
+FROM scores GROUP BY place
+""")
+def q_lexicon_by_topic(spark, sf_dir):
+    """Mean, sample std and count of each score per topic (language stand-in)."""
+    from ..operators import lexicon as LX
+    g = LX.by_group(_lex_scores(spark, sf_dir).withColumnRenamed("place", "topic"), "topic")
+    return g.select("topic", *[_R6(c) if not c.endswith("_count") else F.col(c)
+                               for c in g.columns if c != "topic"])
+
+
+def topic_assign(spark, sf_dir):
+    """Stand-in topic assignment: one topic per language (name = language).
+    Topic numbers come from the distinct-language table, not a global window."""
+    from pyspark.sql import Window
+    c = corpus(spark, sf_dir)
+    ids = c.select("place").distinct().withColumn(
+        "topic_num", (F.row_number().over(Window.orderBy("place")) - 1).cast("int"))
+    return c.join(ids, "place").select("doc_id", "archive_folder", "topic_num",
+                                       F.col("place").alias("topic"), F.col("place").alias("keywords"))
+
+
+@query("topic_summary", S.ASSIGN + """,
+arch AS (SELECT topic_num, archive_folder, count(*) AS n FROM assign GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_num ORDER BY n DESC, archive_folder) AS r FROM arch)
+SELECT a.topic_num, min(a.topic) AS topic_name, CAST(count(*) AS BIGINT) AS doc_count, min(a.keywords) AS keywords,
+       (SELECT string_agg(archive_folder, ', ' ORDER BY r) FROM ranked x WHERE x.topic_num = a.topic_num AND r <= 5) AS sample_archives
+FROM assign a GROUP BY a.topic_num
+""")
+def q_topic_summary(spark, sf_dir):
+    """Per non-empty topic: documents, name, keywords, 5 most common archives."""
+    from ..operators import topics as TP
+    s = TP.topic_summary(topic_assign(spark, sf_dir))
+    return s.select("topic_num", "topic_name", F.col("doc_count").cast("long"), "keywords", "sample_archives")
+
+
+def _with_labels(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    lab = tables.read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return c.join(lab, "doc_id", "left").select(
+        "doc_id", F.col("place").alias("topic_a"),
+        F.coalesce(F.col("quality").cast("string"), F.lit(fixed.UNASSIGNED)).alias("topic_b"))
+
+
+_LABELLED = S.CORPUS + """,
+lab AS (SELECT c.doc_id, c.place AS topic_a, coalesce(CAST(l.quality AS VARCHAR), 'unassigned') AS topic_b
+        FROM corpus c LEFT JOIN labels l USING (doc_id))"""
+
+
+@query("topic_crosstab", _LABELLED + """
+SELECT topic_a, topic_b, CAST(count(*) AS BIGINT) AS n FROM lab GROUP BY 1, 2
+""")
+def q_topic_crosstab(spark, sf_dir):
+    """Contingency table of two labellings (language x quality label)."""
+    from ..operators import topics as TP
+    return TP.crosstab(_with_labels(spark, sf_dir), "topic_a", "topic_b")
+
+
+@query("topic_match", _LABELLED + """,
+ct AS (SELECT topic_a, topic_b, count(*) AS n FROM lab GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_a ORDER BY n DESC, topic_b) AS rk,
+             sum(n) OVER (PARTITION BY topic_a) AS n_a FROM ct)
+SELECT topic_a, topic_b AS dominant_topic_b, CAST(n_a AS BIGINT) AS n_a, CAST(n AS BIGINT) AS n_match,
+       round(100.0 * n / n_a, 6) AS pct FROM r WHERE rk = 1
+""")
+def q_topic_match(spark, sf_dir):
+    """For each topic of one labelling, its dominant topic in the other and the share."""
+    from ..operators import topics as TP
+    m = TP.dominant_match(_with_labels(spark, sf_dir), "topic_a", "topic_b")
+    return m.select("topic_a", "dominant_topic_b", F.col("n_a").cast("long"),
+                    F.col("n_match").cast("long"), _R6("pct"))
+
+
+def _top800(spark, sf_dir):
+    from ..operators import embed as EM
+    s = EM.sentence_tokens(corpus(spark, sf_dir))
+    f = EM.word_frequencies(s)
+    return f.orderBy(F.col("frequency").desc(), F.col("word").asc()).limit(800)
+
+
+@query("word_category", S.EMB_WORDS + """
+SELECT word, CAST(frequency AS BIGINT) AS frequency, """ + S.category_case("word") + """ AS category FROM top800
+""")
+def q_word_category(spark, sf_dir):
+    """Top 800 embedding words with their domain category (first rule wins)."""
+    from ..operators import embed as EM
+    return EM.categorise(_top800(spark, sf_dir), EM.rules_table(spark))
+
+
+@query("word_sizes", S.EMB_WORDS + """,
+mm AS (SELECT min(ln(1 + frequency)) AS mn, max(ln(1 + frequency)) AS mx FROM top800)
+SELECT word, CAST(frequency AS BIGINT) AS frequency,
+       round(CASE WHEN mx = mn THEN 3.0 ELSE 3.0 + 15.0 * (ln(1 + frequency) - mn) / (mx - mn) END, 6) AS size
+FROM top800, mm
+""")
+def q_word_sizes(spark, sf_dir):
+    """Marker sizes: log1p(frequency) scaled to [3, 18] over the top 800 words."""
+    from ..operators import embed as EM
+    return EM.minmax_sizes(_top800(spark, sf_dir)).select("word", "frequency", _R6("size"))
+
+
+@query("rank_sizes", S.COOC + """,
+nf AS (SELECT n.word, s.freq AS frequency FROM nodes n JOIN net_stats s USING (word)),
+rk AS (SELECT word, frequency, (row_number() OVER (ORDER BY frequency, word) - 1) / greatest((SELECT count(*) FROM nf) - 1, 1) AS r FROM nf)
+SELECT word, CAST(frequency AS BIGINT) AS frequency, round(2.0 + pow(r, 0.7) * 38.0, 6) AS marker_size,
+       CAST(greatest(7, floor(3.0 + r * 16.0)) AS INTEGER) AS text_size
+FROM rk
+""")
+def q_rank_sizes(spark, sf_dir):
+    """Rank-based node sizes of the word network (frequency rank, ties by word)."""
+    from ..operators import cooccur as CO
+    from ..operators import embed as EM
+    _, top, _, _ = cooc_inputs(spark, sf_dir)
+    nodes = CO.graph_nodes(CO.top_edges(_scored(spark, sf_dir)), top)
+    stats = vocab.word_stats(net_tokens(spark, sf_dir))
+    nf = nodes.join(stats.select("word", F.col("freq").alias("frequency")), "word")
+    return EM.rank_sizes(nf).select("word", "frequency", _R6("marker_size"), "text_size")
+
+
+@query("class_tfidf", S.CORPUS + """,
+ct AS (SELECT place AS cls, unnest(""" + S.tok_words("text") + """) AS term FROM corpus),
+tf AS (SELECT cls, term, count(*) AS tf FROM ct GROUP BY 1, 2),
+ft AS (SELECT term, sum(tf) AS f FROM tf GROUP BY term),
+a AS (SELECT sum(tf) / count(DISTINCT cls) AS A FROM tf),
+sc AS (SELECT tf.cls, tf.term, tf.tf * ln(1 + a.A / ft.f) AS score FROM tf JOIN ft USING (term), a),
+r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY round(score, 9) DESC, term) AS rank FROM sc)
+SELECT cls AS topic, term, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10
+""")
+def q_class_tfidf(spark, sf_dir):
+    """Class-based TF-IDF topic words: top 10 per topic (language stand-in)."""
+    from ..operators import topics as TP
+    c = corpus(spark, sf_dir).select(F.col("place").alias("topic"), T.tokens_words("text").alias("tokens"))
+    r = TP.class_tfidf(c, "topic")
+    return r.select("topic", "term", _R6("score"), F.col("rank").cast("long"))
+
+
+@query("export_documents", S.ASSIGN + """
+SELECT c.doc_id, c.archive_folder, c.source_file, 'Unknown' AS date, c.place, c.series,
+       c.word_count, a.topic, a.keywords AS topic_keywords,
+       substring(replace(c.text, chr(10), ' '), 1, 200) AS text_preview
+FROM corpus c JOIN assign a USING (doc_id)
+""")
+def q_export_documents(spark, sf_dir):
+    """The documents export: metadata, topic by key join, 200-char preview."""
+    c = corpus(spark, sf_dir)
+    a = topic_assign(spark, sf_dir).select("doc_id", "topic", F.col("keywords").alias("topic_keywords"))
+    return c.join(a, "doc_id").select(
+        "doc_id", "archive_folder", "source_file", "date", "place", "series", "word_count",
+        "topic", "topic_keywords", T.preview_export("text").alias("text_preview"))
+
+
+# ---------------------------------------------------------------------------
+# M6: silhouette, embedding neighbours
+# ---------------------------------------------------------------------------
+
+_SIL_SQL = S.EMB + """,
+sz AS (SELECT label, count(*) AS n FROM e GROUP BY label HAVING count(*) >= 2),
+p AS (SELECT e.* FROM e JOIN sz USING (label)),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS dsum
+      FROM p a JOIN p b ON true GROUP BY 1, 2, 3),
+m AS (SELECT d.vec_id, d.label, d.other, sz.n,
+             CASE WHEN d.other = d.label THEN dsum / greatest(sz.n - 1, 1) ELSE dsum / sz.n END AS mean
+      FROM d JOIN sz ON sz.label = d.other),
+ab AS (SELECT vec_id, label, max(mean) FILTER (WHERE other = label) AS a,
+              min(mean) FILTER (WHERE other <> label) AS b, max(n) FILTER (WHERE other = label) AS n_own
+       FROM m GROUP BY 1, 2),
+sil AS (SELECT vec_id, label, CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM ab)"""
+
+
+def _sil(spark, sf_dir):
+    from ..operators import quality as QL
+    e = tables.read_table(spark, sf_dir, "embeddings", spread_out=True)
+    return QL.silhouette_points(e)
+
+
+@query("silhouette_points", _SIL_SQL + """
+SELECT vec_id, label, round(silhouette, 6) AS silhouette FROM sil
+""")
+def q_silhouette_points(spark, sf_dir):
+    """Silhouette of every embedding in its labelled cluster (Euclidean)."""
+    return _sil(spark, sf_dir).select("vec_id", "label", _R6("silhouette"))
+
+
+@query("silhouette_clusters", _SIL_SQL + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY silhouette DESC, vec_id) AS rk,
+             row_number() OVER (PARTITION BY label ORDER BY silhouette, vec_id DESC) AS rr FROM sil)
+SELECT label, CAST(count(*) AS BIGINT) AS n_members, round(avg(silhouette), 6) AS mean_silhouette,
+       round(min(silhouette), 6) AS min_silhouette, round(max(silhouette), 6) AS max_silhouette,
+       string_agg(CAST(vec_id AS VARCHAR), ', ' ORDER BY rk) FILTER (WHERE rk <= 5) AS best_fitting,
+       string_agg(CAST(vec_id AS VARCHAR), ', ' ORDER BY rk) FILTER (WHERE rr <= 3) AS worst_fitting
+FROM r GROUP BY label
+""")
+def q_silhouette_clusters(spark, sf_dir):
+    """Per cluster: size, mean/min/max silhouette, 5 best and 3 worst members."""
+    from ..operators import quality as QL
+    c = QL.silhouette_clusters(_sil(spark, sf_dir))
+    return c.select("label", "n_members", _R6("mean_silhouette"), _R6("min_silhouette"),
+                    _R6("max_silhouette"), "best_fitting", "worst_fitting")
+
+
+@query("embedding_knn", S.EMB + """,
+s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS sim
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 6) DESC, neighbour) AS rank FROM s)
+SELECT vec_id, neighbour, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5
+""")
+def q_embedding_knn(spark, sf_dir):
+    """Five most cosine-similar embeddings of every embedding."""
+    from ..operators import embed as EM
+    e = tables.read_table(spark, sf_dir, "embeddings", spread_out=True)
+    return EM.nearest(e, "vec_id", "embedding", 5).select("vec_id", "neighbour", _R6("sim"), "rank")

@@ -196,3 +196,42 @@ nodes AS (
   UNION ALL
   SELECT word, 0 FROM top400 WHERE rank <= 100 AND word NOT IN (SELECT word FROM deg)
 )"""
+
+# Lexicon derived from the corpus words (a stand-in; the scoring is general).
+LEXICON = CORPUS + """,
+lex_words AS (SELECT DISTINCT unnest(""" + tok_words("text", 1) + """) AS word FROM corpus),
+lexicon AS (
+  SELECT word, 1.0 + ascii(word) % 9 AS valence, 1.0 + length(word) % 9 AS arousal,
+         1.0 + (ascii(word) + length(word)) % 9 AS dominance
+  FROM lex_words WHERE ascii(word) % 2 = 0
+),
+ltoks AS (SELECT doc_id, place, """ + tok_words("text", 1) + """ AS t FROM corpus),
+locc AS (SELECT doc_id, place, len(t) AS n_tokens, unnest(t) AS word FROM ltoks),
+scores AS (
+  SELECT o.doc_id, any_value(o.place) AS place, avg(l.valence) AS valence, avg(l.arousal) AS arousal,
+         avg(l.dominance) AS dominance, count(*) AS matched, count(*) / any_value(o.n_tokens) AS coverage
+  FROM locc o JOIN lexicon l USING (word) GROUP BY o.doc_id
+)"""
+
+# Stand-in topic assignment: one topic per language, numbered by name.
+ASSIGN = CORPUS + """,
+topic_ids AS (SELECT place, CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS topic_num
+              FROM (SELECT DISTINCT place FROM corpus)),
+assign AS (SELECT c.doc_id, c.archive_folder, t.topic_num, c.place AS topic, c.place AS keywords
+           FROM corpus c JOIN topic_ids t USING (place))"""
+
+# Embedding-sentence word frequencies and the top-800 words.
+EMB_WORDS = CORPUS + """,
+esents AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.\\n]+')) AS s FROM corpus),
+ekept AS (SELECT """ + drop_words(tok_norm("s"), STOP_EMBED) + """ AS t FROM esents),
+efreq AS (SELECT word, count(*) AS frequency FROM (SELECT unnest(t) AS word FROM ekept WHERE len(t) >= 3) GROUP BY word),
+top800 AS (SELECT word, frequency FROM efreq ORDER BY frequency DESC, word LIMIT 800)"""
+
+EMB = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+
+
+def category_case(col: str = "word") -> str:
+    parts = []
+    for cat, words in fixed.CATEGORY_RULES:
+        parts.append(f"WHEN {col} IN ({', '.join(sql_str(w) for w in words)}) THEN {sql_str(cat)}")
+    return "CASE " + " ".join(parts) + f" ELSE {sql_str(fixed.DEFAULT_CATEGORY)} END"
