@@ -693,3 +693,233 @@ def q_embedding_knn(spark, sf_dir):
     from ..operators import embed as EM
     e = tables.read_table(spark, sf_dir, "embeddings", spread_out=True)
     return EM.nearest(e, "vec_id", "embedding", 5).select("vec_id", "neighbour", _R6("sim"), "rank")
+
+
+# ---------------------------------------------------------------------------
+# M1 (files): block archives
+# ---------------------------------------------------------------------------
+
+_RULE_EQ = "=" * 20
+_RULE_DASH = "-" * 20
+
+
+def block_files(spark, sf_dir) -> DataFrame:
+    """Stand-in archive files built from ``documents``: one file per
+    document - a header-less preamble record, then the document's record
+    (headers, a rule line except in the older layout used for 'fr', body)."""
+    d = tables.read_table(spark, sf_dir, "documents", spread_out=True)
+    nl = F.lit("\n")
+    rule = F.when(F.col("lang") == "fr", F.lit("")).otherwise(F.lit(_RULE_DASH + "\n"))
+    content = F.concat(
+        F.lit("File preamble\n" + _RULE_EQ + "\n"),
+        F.lit("ARCHIVE_FOLDER: "), F.col("source"), nl,
+        F.lit("DOCUMENT_ID: "), F.col("doc_id").cast("string"), nl,
+        F.lit("PLACE: "), F.col("lang"), nl, rule,
+        T.normalise_newlines(F.col("text")), F.lit("\n" + _RULE_EQ + "\n"))
+    return d.select(F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"),
+                             F.lit("_cleaned.txt")).alias("source_file"), content.alias("content"))
+
+
+_HWS = S.WS.replace(r"\n", "")
+_HDR = f"^(ARCHIVE_FOLDER|DOCUMENT(?:_ID)?|DATE|PLACE|SOURCE_IMAGES|PAGES)[{S.WS}_]*:"
+
+
+def _sql_field(key: str, default: str) -> str:
+    pat = S.sql_str(f"(?m)^{key}:[{_HWS}]*(.+)$")
+    return (f"CASE WHEN regexp_matches(block, {pat}) THEN {S.strip(f'regexp_extract(block, {pat}, 1)')} "
+            f"ELSE {S.sql_str(default)} END")
+
+
+@query("parse_blocks", """WITH files AS (
+  SELECT source || '_' || CAST(doc_id AS VARCHAR) || '_cleaned.txt' AS source_file,
+         'File preamble' || chr(10) || '""" + _RULE_EQ + """' || chr(10) ||
+         'ARCHIVE_FOLDER: ' || source || chr(10) || 'DOCUMENT_ID: ' || CAST(doc_id AS VARCHAR) || chr(10) ||
+         'PLACE: ' || lang || chr(10) ||
+         CASE WHEN lang = 'fr' THEN '' ELSE '""" + _RULE_DASH + """' || chr(10) END ||
+         regexp_replace(text, '\\r\\n?', chr(10), 'g') || chr(10) || '""" + _RULE_EQ + """' || chr(10) AS content
+  FROM documents
+),
+raw AS (SELECT source_file, unnest(regexp_split_to_array(content, '={20,}')) AS r FROM files),
+blocks AS (SELECT source_file, """ + S.strip("r") + """ AS block FROM raw),
+nb AS (SELECT * FROM blocks WHERE block <> ''),
+parsed AS (
+  SELECT source_file, block,
+         regexp_matches(block, '(?m)^DOCUMENT(?:_ID)?:[""" + _HWS + """]*(.+)$') AS has_id,
+         """ + S.strip("regexp_extract(block, '(?m)^DOCUMENT(?:_ID)?:[" + _HWS + "]*(.+)$', 1)") + """ AS doc_id,
+         """ + _sql_field("ARCHIVE_FOLDER", "") + """ AS archive_folder,
+         """ + _sql_field("DATE", "Unknown") + """ AS date,
+         """ + _sql_field("PLACE", "Not stated") + """ AS place,
+         string_split(block, chr(10)) AS lines
+  FROM nb
+),
+bodies AS (
+  SELECT *, """ + S.strip("""CASE WHEN regexp_matches(block, '-{20,}')
+                 THEN substr(block, length(regexp_extract(block, '^(?s)(.*?)-{20,}', 0)) + 1)
+                 ELSE array_to_string(lines[list_max(list_transform(range(1, len(lines) + 1),
+                        lambda i: CASE WHEN regexp_matches(lines[i], '""" + _HDR + """') THEN i ELSE 0 END)) + 1:], chr(10))
+                 END""") + """ AS text
+  FROM parsed
+)
+SELECT source_file, doc_id, archive_folder, date, place,
+       CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5
+FROM bodies WHERE has_id
+""")
+def q_parse_blocks(spark, sf_dir):
+    """Parse archive files: split records, read headers, cut bodies, drop
+    records without an id."""
+    from ..sources import blocks as BL
+    docs, _ = BL.parse_blocks(BL.split_blocks(block_files(spark, sf_dir)))
+    return docs.select("source_file", "doc_id", "archive_folder", "date", "place",
+                       F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("block_rejects", """WITH files AS (
+  SELECT source || '_' || CAST(doc_id AS VARCHAR) || '_cleaned.txt' AS source_file,
+         'File preamble' || chr(10) || '""" + _RULE_EQ + """' || chr(10) ||
+         'ARCHIVE_FOLDER: ' || source || chr(10) || 'DOCUMENT_ID: ' || CAST(doc_id AS VARCHAR) || chr(10) ||
+         'PLACE: ' || lang || chr(10) ||
+         CASE WHEN lang = 'fr' THEN '' ELSE '""" + _RULE_DASH + """' || chr(10) END ||
+         regexp_replace(text, '\\r\\n?', chr(10), 'g') || chr(10) || '""" + _RULE_EQ + """' || chr(10) AS content
+  FROM documents
+),
+raw AS (SELECT source_file, unnest(regexp_split_to_array(content, '={20,}')) AS r FROM files),
+blocks AS (SELECT source_file, """ + S.strip("r") + """ AS block FROM raw)
+SELECT source_file, CAST(count(*) AS BIGINT) AS n_rejected FROM blocks
+WHERE block <> '' AND NOT regexp_matches(block, '(?m)^DOCUMENT(?:_ID)?:[""" + _HWS + """]*(.+)$')
+GROUP BY source_file
+""")
+def q_block_rejects(spark, sf_dir):
+    """Records without a document id, counted per file."""
+    from ..sources import blocks as BL
+    _, rej = BL.parse_blocks(BL.split_blocks(block_files(spark, sf_dir)))
+    return rej.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
+# ---------------------------------------------------------------------------
+# M7: communities - naming, modularity, Louvain
+# ---------------------------------------------------------------------------
+
+def _word_nodes(spark, sf_dir):
+    """Word-network nodes (word, degree, frequency) and edges (w1, w2, npmi)."""
+    from ..operators import cooccur as CO
+    _, top, _, _ = cooc_inputs(spark, sf_dir)
+    edges = CO.top_edges(_scored(spark, sf_dir))
+    nodes = CO.graph_nodes(edges, top)
+    stats = vocab.word_stats(net_tokens(spark, sf_dir))
+    nodes = nodes.join(stats.select("word", F.col("freq").alias("frequency")), "word")
+    return nodes, edges
+
+
+def name_clusters(nodes: DataFrame, part: DataFrame, n_name: int = 3) -> DataFrame:
+    """T3 rows: word, cluster_id (0 = largest), cluster_name (top words by
+    frequency joined by ' / '), frequency, degree."""
+    from ..operators import graph as G
+    from ..operators import topics as TP
+    num = G.number_communities(part.select(F.col("word").alias("node"), "community"))
+    j = nodes.join(num.withColumnRenamed("node", "word"), "word")
+    w = j.select("cluster_id", "word", "frequency")
+    from pyspark.sql import Window
+    r = w.withColumn("_r", F.row_number().over(
+        Window.partitionBy("cluster_id").orderBy(F.col("frequency").desc(), F.col("word").asc())))
+    names = r.where(F.col("_r") <= n_name).groupBy("cluster_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "word"))), lambda s: s["word"]),
+                     " / ").alias("cluster_name"))
+    del TP
+    return j.join(names, "cluster_id").select("word", "cluster_id", "cluster_name", "frequency", "degree")
+
+
+_CLUSTER_SQL = S.COOC + """,
+cn AS (SELECT n.word, n.degree, s.freq AS frequency, substring(n.word, 1, 1) AS community
+       FROM nodes n JOIN net_stats s USING (word)),
+cs AS (SELECT community, count(*) AS size, min(word) AS first FROM cn GROUP BY 1),
+cid AS (SELECT community, row_number() OVER (ORDER BY size DESC, first) - 1 AS cluster_id FROM cs),
+nm AS (SELECT community, string_agg(word, ' / ' ORDER BY r) FILTER (WHERE r <= 3) AS cluster_name
+       FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY frequency DESC, word) AS r FROM cn)
+       GROUP BY 1)"""
+
+
+@query("cluster_names", _CLUSTER_SQL + """
+SELECT word, CAST(cluster_id AS BIGINT) AS cluster_id, cluster_name, CAST(frequency AS BIGINT) AS frequency,
+       CAST(degree AS BIGINT) AS degree
+FROM cn JOIN cid USING (community) JOIN nm USING (community)
+""")
+def q_cluster_names(spark, sf_dir):
+    """Cluster table of the word network for a given partition (here: first
+    letter): ids by size, names from the 3 most frequent words."""
+    nodes, _ = _word_nodes(spark, sf_dir)
+    part = nodes.select("word", F.substring("word", 1, 1).alias("community"))
+    return name_clusters(nodes, part)
+
+
+@query("modularity", S.COOC + """,
+wpart AS (SELECT word, substring(word, 1, 1) AS c FROM nodes),
+wm AS (SELECT sum(npmi) AS m FROM top_edges),
+winside AS (SELECT pa.c, sum(e.npmi) AS lc FROM top_edges e JOIN wpart pa ON pa.word = e.w1
+            JOIN wpart pb ON pb.word = e.w2 WHERE pa.c = pb.c GROUP BY 1),
+wdeg AS (SELECT word, sum(npmi) AS k FROM (SELECT w1 AS word, npmi FROM top_edges UNION ALL
+                                           SELECT w2, npmi FROM top_edges) GROUP BY 1),
+wdc AS (SELECT p.c, sum(coalesce(d.k, 0)) AS dc FROM wpart p LEFT JOIN wdeg d USING (word) GROUP BY 1),
+wagg AS (SELECT sum(coalesce(i.lc, 0)) AS l, sum(wdc.dc * wdc.dc) AS d2 FROM wdc LEFT JOIN winside i USING (c))
+SELECT round(l / m - 1.0 * d2 / (4 * m * m), 6) AS q_res_1_0, round(l / m - 0.8 * d2 / (4 * m * m), 6) AS q_res_0_8
+FROM wagg, wm
+""")
+def q_modularity(spark, sf_dir):
+    """Weighted modularity of a partition of the word network at
+    resolutions 1.0 and 0.8 (partition: first letter)."""
+    from ..operators import graph as G
+    nodes, edges = _word_nodes(spark, sf_dir)
+    n = nodes.select(F.col("word").alias("node"))
+    e = edges.select(F.col("w1").alias("src"), F.col("w2").alias("dst"), F.col("npmi").alias("weight"))
+    part = nodes.select(F.col("word").alias("node"), F.substring("word", 1, 1).alias("community"))
+    q1 = G.modularity(n, e, part, 1.0).first()["q"]
+    q8 = G.modularity(n, e, part, 0.8).first()["q"]
+    return spark.range(1).select(F.round(F.lit(q1), 6).alias("q_res_1_0"), F.round(F.lit(q8), 6).alias("q_res_0_8"))
+
+
+@query("group_terms", S.TFIDF + """,
+gs AS (SELECT source_file, count(*) AS n FROM corpus GROUP BY 1),
+gw AS (SELECT c.source_file, w.term, sum(w.weight) AS s FROM wts w JOIN corpus c USING (doc_id) GROUP BY 1, 2),
+gm AS (SELECT gw.source_file, term, s / n AS mean_weight FROM gw JOIN gs USING (source_file)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY round(mean_weight, 9) DESC, term) AS rk FROM gm)
+SELECT source_file, string_agg(term, ' / ' ORDER BY rk) FILTER (WHERE rk <= 4) AS label FROM r GROUP BY 1
+""")
+def q_group_terms(spark, sf_dir):
+    """Label each source by its 4 terms of highest mean TF-IDF (absent = 0)."""
+    from ..operators import tfidf as TF
+    c, vocab_df, _, _, _ = sim_inputs(spark, sf_dir)
+    w = TF.weights(TF.term_rows(c), vocab_df)
+    return TF.group_mean_terms(w, c.select("doc_id", "source_file"), "source_file")
+
+
+@query("concept_clusters")
+def q_concept_clusters(spark, sf_dir):
+    """Louvain communities (resolution 1.0) of the word network, named by
+    their 3 most frequent words (rows-only: parallel Louvain is not
+    networkx's sequential one)."""
+    from ..operators import graph as G
+    from pyspark.sql import Window
+    nodes, edges = _word_nodes(spark, sf_dir)
+    ids = nodes.select("word").withColumn("node", F.row_number().over(Window.orderBy("word")).cast("long"))
+    e = edges.join(ids.select(F.col("word").alias("w1"), F.col("node").alias("src")), "w1") \
+        .join(ids.select(F.col("word").alias("w2"), F.col("node").alias("dst")), "w2") \
+        .select("src", "dst", F.col("npmi").alias("weight"))
+    part = G.louvain(ids.select("node"), e, resolution=1.0)
+    part = part.join(ids, "node").select("word", "community")
+    return name_clusters(nodes, part)
+
+
+@query("doc_communities")
+def q_doc_communities(spark, sf_dir):
+    """Louvain communities (resolution 0.8) of the document kNN graph, named
+    by their 4 terms of highest mean TF-IDF (rows-only)."""
+    from ..operators import graph as G
+    from ..operators import tfidf as TF
+    c, vocab_df, _, _, _ = sim_inputs(spark, sf_dir)
+    g, _ = _graph(spark, sf_dir)
+    nodes = c.select(F.col("doc_id").alias("node"))
+    e = g.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("sim").alias("weight"))
+    num = G.number_communities(G.louvain(nodes, e, resolution=0.8))
+    members = num.select(F.col("node").alias("doc_id"), "cluster_id")
+    w = TF.weights(TF.term_rows(c), vocab_df)
+    names = TF.group_mean_terms(w, members, "cluster_id").withColumnRenamed("label", "cluster_name")
+    return members.join(names, "cluster_id", "left")
