@@ -59,66 +59,67 @@ def _q(nodes, edges, part, resolution) -> float:
 
 def _local_moving(nodes: DataFrame, edges: DataFrame, resolution: float, seed: int,
                   max_rounds: int, patience: int) -> tuple[DataFrame, bool]:
-    """One Louvain level: returns (node -> community, moved anything)."""
+    """One Louvain level: returns (node -> community, moved anything).
+
+    Each sub-round is one Spark job: every node of the active half (hash
+    parity of node and round) moves to the neighbouring community of best
+    positive gain (ties: smaller community id).  Modularity is checked once
+    per level; a level that lowers it is dropped.
+    """
     m = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
     if m == 0:
         return nodes.select("node", F.col("node").alias("community")), False
     k = cut_lineage(degrees(nodes, edges))
     d = cut_lineage(_directed(edges).where(F.col("src") != F.col("dst")))
-    part = k.select("node", F.col("node").alias("community"))
-    q = _q(nodes, edges, part, resolution)
-    moved_any, rejected = False, 0
+    start = k.select("node", F.col("node").alias("community"))
+    part, moved_any, idle = start, False, 0
     for rnd in range(max_rounds):
-        tot = part.join(k, "node").groupBy("community").agg(F.sum("k").alias("sigma"))
+        pk = part.join(k, "node")
+        tot = pk.groupBy("community").agg(F.sum("k").alias("sigma"))
         wc = d.join(part.select(F.col("node").alias("dst"), "community"), "dst") \
             .groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w_uc"))
-        me = part.join(k, "node").join(tot.withColumnRenamed("sigma", "sigma_a"), "community") \
+        me = pk.join(tot.withColumnRenamed("sigma", "sigma_a"), "community") \
             .withColumnRenamed("community", "own")
         w_own = wc.join(me.select("node", F.col("own").alias("community")), ["node", "community"]) \
             .select("node", F.col("w_uc").alias("w_own"))
         me = me.join(w_own, "node", "left").fillna(0.0, ["w_own"])
-        cand = wc.join(me, "node").where(F.col("community") != F.col("own")) \
-            .join(tot, "community")
+        me = me.where(F.pmod(F.xxhash64("node", F.lit(seed + rnd)), F.lit(2)) == 0)
+        cand = wc.join(me, "node").where(F.col("community") != F.col("own")).join(tot, "community")
         gain = (F.col("w_uc") - F.col("w_own")) / F.lit(m) - F.lit(resolution) * F.col("k") * (
             F.col("sigma") - (F.col("sigma_a") - F.col("k"))) / F.lit(2.0 * m * m)
-        cand = cand.withColumn("gain", gain).where(F.col("gain") > 1e-12)
-        # half of the nodes may move per sub-round (hash parity), avoiding swaps
-        cand = cand.where(F.pmod(F.xxhash64("node", F.lit(seed + rnd)), F.lit(2)) == 0)
-        best = cand.groupBy("node").agg(
+        best = cand.withColumn("gain", gain).where(F.col("gain") > 1e-12).groupBy("node").agg(
             F.max_by("community", F.struct(F.round("gain", 15), -F.col("community"))).alias("to"))
         new = part.join(best, "node", "left").select(
-            "node", F.coalesce("to", "community").alias("community"))
-        new = cut_lineage(new)
-        changed = new.join(part.withColumnRenamed("community", "old"), "node") \
-            .where(F.col("community") != F.col("old")).count()
+            "node", F.coalesce("to", "community").alias("community"),
+            F.col("to").isNotNull().alias("moved"))
+        new = cut_lineage(new) if rnd % 4 == 3 else new.cache()
+        changed = new.where("moved").count()
+        part = new.drop("moved")
         if changed == 0:
-            rejected += 1
-            if rejected >= patience:
+            idle += 1
+            if idle >= patience:
                 break
-            continue
-        q_new = _q(nodes, edges, new, resolution)
-        if q_new >= q - 1e-12:
-            part, q, moved_any, rejected = new, q_new, True, 0
         else:
-            rejected += 1
-            if rejected >= patience:
-                break
-    return part, moved_any
+            idle, moved_any = 0, True
+    if moved_any and _q(nodes, edges, part, resolution) < _q(nodes, edges, start, resolution) - 1e-12:
+        return start, False
+    return cut_lineage(part), moved_any
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42,
-            max_levels: int = 10, max_rounds: int = 40, patience: int = 4) -> DataFrame:
+            max_levels: int = 5, max_rounds: int = 12, patience: int = 2) -> DataFrame:
     """(node, community) - parallel Louvain: local moving then contraction,
     until a level moves nothing.  Isolated nodes stay singletons."""
+    nodes = cut_lineage(nodes.select("node"))
+    edges = cut_lineage(edges.select("src", "dst", "weight"))
     part = nodes.select("node", F.col("node").alias("community"))
-    cur_nodes, cur_edges = nodes.select("node"), edges.select("src", "dst", "weight")
+    cur_nodes, cur_edges = nodes, edges
     for _ in range(max_levels):
         level, moved = _local_moving(cur_nodes, cur_edges, resolution, seed, max_rounds, patience)
         if not moved:
             break
-        part = cut_lineage(part.join(level.withColumnRenamed("node", "community")
-                                     .withColumnRenamed("community", "c2"), "community")
-                           .select("node", F.col("c2").alias("community")))
+        step = level.select(F.col("node").alias("community"), F.col("community").alias("c2"))
+        part = cut_lineage(part.join(step, "community").select("node", F.col("c2").alias("community")))
         ce = cur_edges.join(level.select(F.col("node").alias("src"), F.col("community").alias("cs")), "src") \
             .join(level.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst")
         cur_edges = cut_lineage(ce.select(F.least("cs", "cd").alias("src"), F.greatest("cs", "cd").alias("dst"),
@@ -139,7 +140,7 @@ def number_communities(part: DataFrame, node: str = "node") -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
     """(node, component): minimum node id reachable, by label propagation."""
     d = cut_lineage(_directed(edges.withColumn("weight", F.lit(1.0))).select("src", "dst"))
-    lab = nodes.select("node", F.col("node").alias("component"))
+    lab = cut_lineage(nodes.select("node", F.col("node").alias("component")))
     for _ in range(max_iter):
         prop = d.join(lab.select(F.col("node").alias("src"), F.col("component").alias("c")), "src") \
             .groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8,
-              app: str = "lexigraph", memory: str | None = None) -> SparkSession:
+              app: str = "lexigraph", memory: str | None = "12g") -> SparkSession:
     """A local session with AQE on and the UI off (for tests and the bench).
 
     On a cluster, build the session the usual way; nothing in the library
