@@ -40,8 +40,23 @@ def ws_tokens(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(f"{NOT_WS}+"), F.lit(0))
 
 
+# every character Python's str.split() treats as white space
+_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+             "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def word_count(col) -> Column:
-    return F.size(ws_tokens(col)).cast("long")
+    """``len(text.split())``: white space mapped to ' ' by ``translate`` (a
+    char table), then runs of non-space counted - no token strings built."""
+    t = F.translate(_c(col), _WS_CHARS, " " * len(_WS_CHARS))
+    return F.regexp_count(t, F.lit("[^ ]+")).cast("long")
+
+
+def has_words(col, n: int) -> Column:
+    """At least n white-space separated words; stops scanning after n."""
+    if n <= 0:
+        return F.lit(True)
+    return _c(col).rlike(f"^{WS}*(?:{NOT_WS}+{WS}+){{{n - 1}}}{NOT_WS}")
 
 
 def normalise_newlines(col) -> Column:

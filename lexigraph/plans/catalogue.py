@@ -36,8 +36,18 @@ def query(name: str, sql: str | None = None):
 # shared inputs
 # ---------------------------------------------------------------------------
 
+_MEMO: dict = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.corpus_from_documents(spark, sf_dir)
+    """The document table (>= 20 words), written once per session to the
+    shared checkpoint folder - the pipeline's first materialisation point,
+    read by every later query instead of re-parsing the raw table."""
+    from ..session import cut_lineage
+    key = ("corpus", spark.sparkContext.applicationId, sf_dir)
+    if key not in _MEMO:
+        _MEMO[key] = cut_lineage(tables.corpus_from_documents(spark, sf_dir))
+    return _MEMO[key]
 
 
 def net_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +290,7 @@ def q_doc_knn(spark, sf_dir):
 def _graph(spark, sf_dir, n_shared=0):
     from ..operators import similarity as SM
     _, vocab, vecs, n, V = sim_inputs(spark, sf_dir)
-    return SM.knn_edges(vecs, V, n), vocab
+    return SM.knn_edges(vecs, V, n, n_shared=n_shared), vocab
 
 
 @query("doc_graph", S.SIMS + """
@@ -329,7 +339,7 @@ def q_network_edges(spark, sf_dir):
 
 def _bridges(spark, sf_dir):
     from ..operators import similarity as SM
-    g, vocab = _graph(spark, sf_dir)
+    g, vocab = _graph(spark, sf_dir, n_shared=SM.N_SHARED)
     g = SM.with_term_names(g.where(F.col("src_a") != F.col("src_b")), vocab)
     label = lambda c: F.replace(F.col(c), F.lit("_cleaned.txt"), F.lit(""))
     return g.select("doc_a", label("src_a").alias("archive_a"), "doc_b",
@@ -361,14 +371,15 @@ FLAGSHIP = "bridges"
 def cooc_inputs(spark, sf_dir):
     """(windows, top_words DataFrame, total pair count) - memoised per session."""
     from ..operators import cooccur as CO
+    from ..session import cut_lineage
     key = ("cooc", spark.sparkContext.applicationId, sf_dir)
     if key not in _SIM_CACHE:
         toks = net_tokens(spark, sf_dir)
         stats = vocab.word_stats(toks)
         top = vocab.top_by(vocab.candidates(stats, 8, 3), 400, "freq", "word")
         words = [r[0] for r in top.select("word").collect()]  # at most 400 words
-        win = CO.windows(toks, words)
-        pairs = CO.pair_counts(win)
+        win = cut_lineage(CO.windows(toks, words))
+        pairs = cut_lineage(CO.pair_counts(win))
         total = pairs.agg(F.sum("n")).first()[0] or 0
         _SIM_CACHE[key] = (win, top, pairs, total)
     return _SIM_CACHE[key]
@@ -923,3 +934,111 @@ def q_doc_communities(spark, sf_dir):
     w = TF.weights(TF.term_rows(c), vocab_df)
     names = TF.group_mean_terms(w, members, "cluster_id").withColumnRenamed("label", "cluster_name")
     return members.join(names, "cluster_id", "left")
+
+
+# ---------------------------------------------------------------------------
+# M8: statistical models (rows-only checks: different algorithms or
+# iterative optimisers, so no SQL twin)
+# ---------------------------------------------------------------------------
+
+def _reduced(spark, sf_dir):
+    from ..operators import reduce as RD
+    key = ("svd", spark.sparkContext.applicationId, sf_dir)
+    if key not in _SIM_CACHE:
+        _, vocab_df, vecs, _, V = sim_inputs(spark, sf_dir)
+        scores, vk, s, ratio = RD.svd_scores(vecs, V, 50)
+        coords, comps, pvar = RD.pca3(scores)
+        _SIM_CACHE[key] = (scores, vk, s, ratio, coords, comps, pvar)
+    return _SIM_CACHE[key]
+
+
+@query("svd_coords")
+def q_svd_coords(spark, sf_dir):
+    """Truncated SVD (50 components) scores of the TF-IDF rows."""
+    scores = _reduced(spark, sf_dir)[0]
+    return scores.select("doc_id", *[F.col("svd")[i].alias(f"c{i + 1}") for i in range(3)],
+                         F.size("svd").alias("n_components"))
+
+
+@query("pca_coords")
+def q_pca_coords(spark, sf_dir):
+    """3-D coordinates: centred PCA of the SVD scores."""
+    return _reduced(spark, sf_dir)[4]
+
+
+@query("variance_report")
+def q_variance_report(spark, sf_dir):
+    """SVD total explained variance; PCA share per axis; effective share."""
+    _, _, _, ratio, _, _, pvar = _reduced(spark, sf_dir)
+    tot = float(ratio.sum())
+    rows = [("svd_total", None, tot)] + [
+        (f"PC{i + 1}", float(pvar[i]), float(pvar[i]) * tot) for i in range(len(pvar))]
+    return spark.createDataFrame(rows, "component string, pca_ratio double, effective_ratio double")
+
+
+@query("axis_terms")
+def q_axis_terms(spark, sf_dir):
+    """Six most positive and most negative terms of each 3-D axis."""
+    from ..operators import reduce as RD
+    _, vk, _, _, _, comps, _ = _reduced(spark, sf_dir)
+    _, vocab_df, _, _, _ = sim_inputs(spark, sf_dir)
+    return RD.axis_terms(vk, comps, vocab_df)
+
+
+@query("lda_topics")
+def q_lda_topics(spark, sf_dir):
+    """LDA (15 topics, online) over normalised tokens with the topic stop
+    list; dominant topic per document, named by its top keywords."""
+    from ..operators import topics as TP
+    c = corpus(spark, sf_dir)
+    toks = c.select("doc_id", T.remove_words(T.tokens_normalised("text"), fixed.stop_words("topics")).alias("tokens"))
+    assign, topics = TP.lda_topics(toks, stop=fixed.EXTRA_STOP_WORDS["topics"])
+    return assign.join(topics, "topic_num", "left").join(c.select("doc_id", "archive_folder", "series"), "doc_id")
+
+
+def _w2v(spark, sf_dir):
+    from ..operators import embed as EM
+    key = ("w2v", spark.sparkContext.applicationId, sf_dir)
+    if key not in _SIM_CACHE:
+        s = EM.sentence_tokens(corpus(spark, sf_dir))
+        _SIM_CACHE[key] = EM.train_word2vec(s)
+    return _SIM_CACHE[key]
+
+
+@query("word2vec_neighbours")
+def q_word2vec_neighbours(spark, sf_dir):
+    """Word2Vec (skip-gram, 100 dims, window 8, min count 5): the 5 nearest
+    words of every vocabulary word (cosine, block kernel)."""
+    from ..operators import embed as EM
+    vecs = _w2v(spark, sf_dir).getVectors()
+    from pyspark.ml.functions import vector_to_array
+    ids = vecs.select("word", vector_to_array("vector").alias("v")).withColumn("wid", F.xxhash64("word"))
+    nn = EM.nearest(ids, "wid", "v", 5)
+    names = ids.select("wid", "word")
+    return nn.join(names, "wid").join(names.select(F.col("wid").alias("neighbour"), F.col("word").alias("nword")),
+                                      "neighbour").select("word", F.col("nword").alias("neighbour"), "sim", "rank")
+
+
+@query("word_coords")
+def q_word_coords(spark, sf_dir):
+    """Top 800 words: PCA(3) of their Word2Vec vectors, category, frequency, size."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import vector_to_array
+    from ..operators import embed as EM
+    vecs = _w2v(spark, sf_dir).getVectors()
+    cen = StandardScaler(withMean=True, withStd=False, inputCol="vector", outputCol="xc").fit(vecs).transform(vecs)
+    pc = PCA(k=3, inputCol="xc", outputCol="pc").fit(cen).transform(cen) \
+        .select("word", vector_to_array("pc").alias("pc"))
+    top = EM.minmax_sizes(_top800(spark, sf_dir))
+    cat = EM.categorise(top, EM.rules_table(spark))
+    return cat.join(pc, "word").select("word", *[F.col("pc")[i].alias(f"PC{i + 1}") for i in range(3)],
+                                       "category", "frequency", "size")
+
+
+@query("density_topics")
+def q_density_topics(spark, sf_dir):
+    """Density clusters of the embeddings (core distance, mutual
+    reachability links, connected components; small components -> -1)."""
+    from ..operators import topics as TP
+    e = tables.read_table(spark, sf_dir, "embeddings", spread_out=True)
+    return TP.density_topics(e, id_col="vec_id", vec="embedding")

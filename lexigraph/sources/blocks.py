@@ -44,7 +44,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.txt",
                skip: list[str] | None = None) -> DataFrame:
     """(source_file, content) - one row per text file, bad UTF-8 replaced,
     CRLF/CR turned into LF."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     df = df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"),
                    normalise_newlines(F.make_valid_utf8("value")).alias("content"))
     if skip:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import normalise_newlines, series_of, word_count
+from ..functions.text import has_words, normalise_newlines, series_of, word_count
 from ..session import table_path
 
 MIN_WORDS = 20
@@ -43,8 +43,13 @@ def with_series_and_count(docs: DataFrame, source_col: str = "source_file") -> D
 
 
 def keep_long(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Documents with at least ``min_words`` white-space separated words."""
-    return docs.where(F.col("word_count") >= min_words)
+    """Documents with at least ``min_words`` white-space separated words.
+
+    Tested on the text with an early-stopping pattern rather than on
+    ``word_count``: a filter on the derived column would be pushed below
+    the projection and count every document's words a second time.
+    """
+    return docs.where(has_words("text", min_words))
 
 
 def corpus_from_documents(spark: SparkSession, sf_dir: str,
