@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 SIM_FLOOR = 0.15
 K_NEIGHBOURS = 5
@@ -179,6 +179,7 @@ def block_products(vecs: DataFrame, V: int, n_docs: int, mode: str, k: int = K_N
                    floor: float = SIM_FLOOR, lo: float = 0.0, n_shared: int = N_SHARED,
                    nbins: int = HIST_BINS, doc: str = "doc_id",
                    block_docs: int = BLOCK_DOCS) -> DataFrame:
+    ship_package(vecs.sparkSession)
     B = n_blocks(n_docs, block_docs)
     rep = _replicate(vecs, B, doc)
     schema = HIST_SCHEMA if mode == "hist" else PAIR_SCHEMA
