@@ -30,7 +30,7 @@ def test_python_whitespace_split_and_strip(spark):
 
 def test_previews(spark):
     s = "line one\n<b>" + "x" * 100
-    assert one(spark, T.preview_hover, s) == ("line one &lt;b>" + "x" * 69 + "...")
+    assert one(spark, T.preview_hover, s) == ("line one &lt;b>" + "x" * 68 + "...")
     assert one(spark, T.preview_export, "a\nb") == "a b"
 
 
