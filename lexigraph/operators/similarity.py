@@ -300,3 +300,26 @@ def threshold_pairs(vecs: DataFrame, V: int, n_docs: int, threshold: float,
 
 __all__ = ["doc_vectors", "block_products", "cosine_pairs_index", "exact_percentile",
            "knn_edges", "threshold_pairs", "with_term_names", "cut_lineage"]
+
+
+def shared_terms_join(edges: DataFrame, vecs: DataFrame, n_shared: int = N_SHARED,
+                      doc: str = "doc_id") -> DataFrame:
+    """Add ``terms`` (top shared term indices) to a set of edges by joins.
+
+    Cost is linear in edges x terms per document (a document has at most
+    max_features terms), so a kNN edge list (k per document) scales with
+    the corpus.  Order: product (12 places) desc, term index asc.
+    """
+    w = vecs.select(F.col(doc).alias("d"), F.explode(F.arrays_zip("idx", "val")).alias("e")) \
+        .select("d", F.col("e.idx").alias("t"), F.col("e.val").alias("v"))
+    wa = w.select(F.col("d").alias("doc_a"), "t", F.col("v").alias("va"))
+    wb = w.select(F.col("d").alias("doc_b"), "t", F.col("v").alias("vb"))
+    p = edges.select("doc_a", "doc_b").join(wa, "doc_a").join(wb, ["doc_b", "t"]) \
+        .withColumn("p", F.round(F.col("va") * F.col("vb"), 12)).where(F.col("p") > 0)
+    r = p.withColumn("r", F.row_number().over(
+        Window.partitionBy("doc_a", "doc_b").orderBy(F.col("p").desc(), F.col("t").asc()))) \
+        .where(F.col("r") <= n_shared)
+    top = r.groupBy("doc_a", "doc_b").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda s: s["t"]).alias("terms"))
+    return edges.drop("terms").join(top, ["doc_a", "doc_b"], "left") \
+        .withColumn("terms", F.coalesce("terms", F.array().cast("array<int>")))

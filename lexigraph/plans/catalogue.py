@@ -339,8 +339,10 @@ def q_network_edges(spark, sf_dir):
 
 def _bridges(spark, sf_dir):
     from ..operators import similarity as SM
-    g, vocab = _graph(spark, sf_dir, n_shared=SM.N_SHARED)
-    g = SM.with_term_names(g.where(F.col("src_a") != F.col("src_b")), vocab)
+    _, _, vecs, _, _ = sim_inputs(spark, sf_dir)
+    g, vocab = _graph(spark, sf_dir)
+    g = SM.shared_terms_join(g.where(F.col("src_a") != F.col("src_b")), vecs)
+    g = SM.with_term_names(g, vocab)
     label = lambda c: F.replace(F.col(c), F.lit("_cleaned.txt"), F.lit(""))
     return g.select("doc_a", label("src_a").alias("archive_a"), "doc_b",
                     label("src_b").alias("archive_b"), F.round("sim", 6).alias("similarity"),
