@@ -126,3 +126,41 @@ def density_topics(points: DataFrame, k_core: int = 3, min_size: int = 12, eps_q
         Window.orderBy(F.col("size").desc(), F.col("first").asc())) - 1).cast("int"))
     out = comp.join(num.select("component", "topic"), "component", "left")
     return out.select(F.col("node").alias(id_col), F.coalesce("topic", F.lit(-1)).alias("topic"))
+
+
+def _ctfidf_unit(tf: DataFrame, cls: str) -> DataFrame:
+    """(cls, term, w): class TF-IDF rows scaled to unit length per class."""
+    ft = tf.groupBy("term").agg(F.sum("tf").alias("f"))
+    A = tf.agg((F.sum("tf") / F.countDistinct(cls)).alias("A")).first()["A"] or 0.0
+    s = tf.join(ft, "term").withColumn("w", F.col("tf") * F.log1p(F.lit(float(A)) / F.col("f")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(cls)))
+    return s.select(cls, "term", (F.col("w") / norm).alias("w"))
+
+
+def reduce_topics(docs: DataFrame, cls: str, target: int, tokens: str = "tokens",
+                  max_steps: int = 1000) -> DataFrame:
+    """(cls, topic): merge the two most similar topics (cosine of class
+    TF-IDF vectors; ties: smaller ids) until ``target`` remain.  Merged
+    topics pool their term counts and take the smaller id.  A driver loop
+    over small DataFrames (one row per topic and term); each step is a
+    self-join on term of the current topic vectors."""
+    from ..session import cut_lineage
+    rows = docs.select(cls, F.explode(tokens).alias("term"))
+    tf0 = cut_lineage(rows.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("tf")))
+    mapping = cut_lineage(tf0.select(cls).distinct().withColumn("topic", F.col(cls)))
+    for _ in range(max_steps):
+        n = mapping.select("topic").distinct().count()
+        if n <= target:
+            break
+        tf = tf0.join(mapping, cls).groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
+        u = _ctfidf_unit(tf, "topic")
+        a = u.select(F.col("topic").alias("t1"), "term", F.col("w").alias("w1"))
+        b = u.select(F.col("topic").alias("t2"), "term", F.col("w").alias("w2"))
+        sims = a.join(b, "term").where(F.col("t1") < F.col("t2")).groupBy("t1", "t2") \
+            .agg(F.sum(F.col("w1") * F.col("w2")).alias("sim"))
+        best = sims.orderBy(F.col("sim").desc(), "t1", "t2").first()
+        if best is None:
+            break
+        mapping = cut_lineage(mapping.withColumn(
+            "topic", F.when(F.col("topic") == best["t2"], F.lit(best["t1"])).otherwise(F.col("topic"))))
+    return mapping

@@ -1044,3 +1044,19 @@ def q_density_topics(spark, sf_dir):
     from ..operators import topics as TP
     e = tables.read_table(spark, sf_dir, "embeddings", spread_out=True)
     return TP.density_topics(e, id_col="vec_id", vec="embedding")
+
+
+@query("reduced_topics")
+def q_reduced_topics(spark, sf_dir):
+    """Topic reduction: the 20 sources as initial topics, merged pairwise by
+    class TF-IDF cosine until 18 remain; each named by its top 4 class
+    TF-IDF terms (rows-only: a driver loop of merges)."""
+    from ..operators import topics as TP
+    c = corpus(spark, sf_dir).select("source_file", T.tokens_words("text").alias("tokens"))
+    mapping = TP.reduce_topics(c, "source_file", 18)
+    merged = c.join(mapping, "source_file")
+    names = TP.class_tfidf(merged.select("topic", "tokens"), "topic", n_top=4) \
+        .groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
+                                                       lambda s: s["term"]), " / ").alias("topic_name"))
+    sizes = merged.groupBy("topic").agg(F.count(F.lit(1)).alias("doc_count"))
+    return mapping.join(names, "topic").join(sizes, "topic").select("source_file", "topic", "topic_name", "doc_count")
