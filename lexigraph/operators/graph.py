@@ -107,7 +107,7 @@ def _local_moving(nodes: DataFrame, edges: DataFrame, resolution: float, seed: i
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42,
-            max_levels: int = 3, max_rounds: int = 8, patience: int = 1) -> DataFrame:
+            max_levels: int = 2, max_rounds: int = 5, patience: int = 1) -> DataFrame:
     """(node, community) - parallel Louvain: local moving then contraction,
     until a level moves nothing.  Isolated nodes stay singletons."""
     nodes = cut_lineage(nodes.select("node"))
