@@ -39,17 +39,16 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is only set here when unset
-    (local runs and tests), to a fresh folder under the temp directory.
+    A cluster names a shared folder there.  Only a local session may run
+    without one (tests): it gets a fresh folder under the temp directory.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="lexigraph-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
-    return d
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(d or tempfile.mkdtemp(prefix="lexigraph-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
