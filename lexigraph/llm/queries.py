@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import chat_format, source_mix
+from . import chat_format, packing, quality_rules, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,67 @@ def q_op6(spark, sf_dir):
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+_BIN = "CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END"
+
+
+def _low_sql(b: str) -> str:
+    return f"(CASE WHEN {b} < 64 THEN {b} ELSE ({b} - ({b} // 32 - 1) * 32) << ({b} // 32 - 1) END)"
+
+
+def _quartiles_sql(by: str) -> str:
+    part = f"PARTITION BY {by + ', ' if by else ''}rule"
+    return f"""
+  SELECT {by + ', ' if by else ''}rule, max(total) AS docs,
+         {_low_sql('min(bin) FILTER (WHERE upto * 4 >= total)')} AS q1,
+         {_low_sql('(min(bin) FILTER (WHERE upto * 4 >= total * 3) + 1)')} - 1 AS q3
+  FROM (SELECT *, sum(n) OVER ({part} ORDER BY bin) AS upto, sum(n) OVER ({part}) AS total
+        FROM (SELECT {by + ', ' if by else ''}rule, bin, sum(n) AS n FROM sk GROUP BY ALL))
+  GROUP BY {by + ', ' if by else ''}rule"""
+
+
+def _value_sql() -> str:
+    return """CASE rule WHEN 'word_length' THEN word_chars * 100 // n_words WHEN 'symbols' THEN n_symbols * 1000 // n_words
+              WHEN 'dup_lines' THEN n_dup_lines * 1000 // n_lines ELSE n_repeat_words * 1000 // n_words END"""
+
+
+@query("op1_quality_rules", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, {WORDS} AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, text FROM d),
+p AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
+k AS (SELECT rid, i, CASE WHEN i + 4 <= len(ws) THEN array_to_string(list_slice(ws, i, i + 4), ' ') END AS win FROM p),
+t AS (SELECT rid, i, win IS NOT NULL AND count(*) OVER (PARTITION BY rid, win) > 1 AS twice FROM k),
+c AS (SELECT rid, bool_or(twice) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM t),
+r AS (SELECT rid, count(*) FILTER (WHERE covered) AS n_repeat_words FROM c GROUP BY rid),
+s AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(d.text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM d JOIN w USING (rid) LEFT JOIN r USING (rid)),
+x AS (SELECT lang, source, rule, {_value_sql()} AS v FROM s CROSS JOIN (VALUES ('word_length'), ('symbols'), ('dup_lines'), ('repeats')) u(rule) WHERE n_words > 0),
+sk AS (SELECT lang, source, rule, {_BIN} AS bin, count(*) AS n FROM x GROUP BY ALL),
+q2 AS ({_quartiles_sql('lang, source')}), q1 AS ({_quartiles_sql('lang')}), q0 AS ({_quartiles_sql('')}),
+f AS (SELECT q2.lang, q2.source, rule,
+             CASE WHEN q2.docs >= 100 THEN q2.q1 WHEN q1.docs >= 100 THEN q1.q1 ELSE q0.q1 END AS a,
+             CASE WHEN q2.docs >= 100 THEN q2.q3 WHEN q1.docs >= 100 THEN q1.q3 ELSE q0.q3 END AS b
+      FROM q2 JOIN q1 USING (rule) JOIN q0 USING (rule) WHERE q2.lang IS NOT DISTINCT FROM q1.lang),
+g AS (SELECT lang, source, rule, a, b, 3 * greatest(b - a, CASE rule WHEN 'word_length' THEN 40 WHEN 'dup_lines' THEN 100 WHEN 'repeats' THEN 60 ELSE 25 END) AS reach FROM f),
+j AS (SELECT s.*, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed,
+             EXISTS (SELECT 1 FROM g WHERE n_words > 0 AND g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
+                     AND ({_value_sql()} > b + reach OR (rule = 'word_length' AND {_value_sql()} < a - reach))) AS out_of_fence
+      FROM s)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT out_of_fence AS kept
+FROM j
+""")
+def q_op1(spark, sf_dir):
+    """Signals, base rules and adaptive thresholds over all documents."""
+    d = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_packing")
+def q_op9(spark, sf_dir):
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
