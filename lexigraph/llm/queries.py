@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import chat_format, packing, quality_rules, source_mix
+from . import chat_format, packing, prob_minhash, quality_rules, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -159,3 +159,9 @@ def q_op1(spark, sf_dir):
 def q_op9(spark, sf_dir):
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op3_prob_minhash")
+def q_op3(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
