@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import chat_format, packing, prob_minhash, quality_rules, source_mix
+from . import chat_format, packing, prob_minhash, quality_rules, source_mix, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +165,19 @@ def q_op9(spark, sf_dir):
 def q_op3(spark, sf_dir):
     """Near-duplicate class of every document."""
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_substring_dedup", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS ws FROM documents),
+p AS (SELECT rid, doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+k AS (SELECT rid, doc_id, i, ws[i] AS w, CASE WHEN i + 49 <= len(ws) THEN md5(array_to_string(list_slice(ws, i, i + 49), ' ')) END AS win FROM p),
+f AS (SELECT win, min(doc_id) AS first FROM k WHERE win IS NOT NULL GROUP BY win),
+t AS (SELECT rid, i, w, coalesce(first < doc_id, false) AS again FROM k LEFT JOIN f USING (win)),
+c AS (SELECT rid, i, w, bool_or(again) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM t),
+s AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (rid)
+""")
+def q_op7(spark, sf_dir):
+    """Words left after removing 50-word windows that an earlier document holds."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
