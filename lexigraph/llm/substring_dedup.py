@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .batches import slices, values
 from .words import long_window_hashes, mix64, word_hashes
 
@@ -72,46 +73,43 @@ def _minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _travellers(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """Rows of what travels, from documents with ``shared`` (array of mh,
-    hot): packed super-k-mers (mh, packed) or, of hot buckets, single windows
-    (w1, w2); with doc_id, mark and at (the first window)."""
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("mark", "at", "mh", "w1", "w2")], T.StructField("packed", T.BinaryType())])
+def _travellers(docs: DataFrame, k: int, m: int, single: bool) -> DataFrame:
+    """What travels from documents with ``shared`` (array of mh): rows of
+    doc_id, mark, at (first window) and (mh, packed), or with ``single``
+    one row per window with its hash (w1, w2)."""
+    own = [("w1", T.LongType()), ("w2", T.LongType())] if single else [("mh", T.LongType()), ("packed", T.BinaryType())]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("mark", T.LongType()), T.StructField("at", T.LongType()), *[T.StructField(*c) for c in own]])
 
-    def rows(batch, texts, i):
+    def rows(texts, shared):
         d, start, n, mh, h, offset = super_kmers(texts, k, m)
-        shared = batch.column("shared").slice(i, len(texts)).to_pylist()
-        cold = [{s["mh"] for s in x if not s["hot"]} for x in shared]
-        hot = [{s["mh"] for s in x if s["hot"]} for x in shared]
-        words: dict = {}
-        row, at, key, packed, single = [], [], [], [], []
-        for t, s, c, x in zip(d.tolist(), start.tolist(), n.tolist(), mh.tolist()):
-            if x in cold[t]:
-                if t not in words:
-                    words = {t: texts[t].split()}
-                row.append(t), at.append(s), key.append(x), packed.append(b" ".join(words[t][s : s + c + k - 1]))
-            elif x in hot[t]:
-                single.append((t, s, c))
-        yield row, {"at": at, "mh": key, "w1": [None] * len(row), "w2": [None] * len(row), "packed": packed}
+        shared = [set(x) for x in shared]
+        runs = [r for r in zip(d.tolist(), start.tolist(), n.tolist(), mh.tolist()) if r[3] in shared[r[0]]]
+        if not runs:
+            return [], {}
         if single:
-            t, s, c = (np.array(x, dtype=np.int64) for x in zip(*single))
-            own = np.repeat(t, c)
-            pos = np.repeat(s, c) + np.arange(len(own)) - np.repeat(np.cumsum(c) - c, c)
-            w1, w2 = (long_window_hashes(x, k).view(np.int64)[offset[own] + pos] for x in (h, mix64(h ^ np.uint64(0xA5A5A5A55A5A5A5A))))
-            yield own, {"at": pos, "mh": pa.nulls(len(own), pa.int64()), "w1": w1, "w2": w2, "packed": pa.nulls(len(own), pa.binary())}
+            t, s, c, _ = (np.array(x, dtype=np.int64) for x in zip(*runs))
+            row = np.repeat(t, c)
+            pos = np.repeat(s, c) + np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)
+            w1, w2 = (long_window_hashes(x, k).view(np.int64)[offset[row] + pos] for x in (h, mix64(h ^ np.uint64(0xA5A5A5A55A5A5A5A))))
+            return row, {"at": pos, "w1": w1, "w2": w2}
+        packed, words, last = [], [], -1
+        for t, s, c, _ in runs:
+            if t != last:
+                words, last = texts[t].split(), t
+            packed.append(b" ".join(words[s : s + c + k - 1]))
+        return [r[0] for r in runs], {"at": [r[1] for r in runs], "mh": [r[3] for r in runs], "packed": packed}
 
     def run(batches):
         for batch in batches:
-            texts = values(batch, "text", b"")
+            texts, shared = values(batch, "text", b""), batch.column("shared").to_pylist()
             for i, j in slices(texts):
-                for row, cols in rows(batch, texts[i:j], i):
-                    take = pa.array(np.asarray(row, dtype=np.int64) + i)
-                    cols = {"doc_id": batch.column("doc_id").take(take), "mark": batch.column("mark").take(take)} | cols
-                    for a in range(0, len(take), 20_000):
-                        yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c, schema_of[f])).slice(a, 20_000) for f, c in cols.items()], names=list(cols))
+                row, cols = rows(texts[i:j], shared[i:j])
+                take = pa.array(np.asarray(row, dtype=np.int64) + i)
+                cols = {"doc_id": batch.column("doc_id").take(take), "mark": batch.column("mark").take(take)} | {c: pa.array(v) for c, v in cols.items()}
+                for a in range(0, len(take), 20_000):
+                    yield pa.RecordBatch.from_pydict({c: v.slice(a, 20_000) for c, v in cols.items()})
 
-    schema_of = {"at": pa.int64(), "mh": pa.int64(), "w1": pa.int64(), "w2": pa.int64(), "packed": pa.binary()}
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "mark", "shared").mapInArrow(run, schema)
 
 
 def _bucket(rows: list[tuple], k: int) -> list[list[int]]:
@@ -206,10 +204,12 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, hot: in
     mins = _minimisers(d, k, m)
     shared = mins.groupBy("mh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = shared.where(F.col("lo") < F.col("hi")).select("mh", (F.col("n") > hot).alias("hot"))
-    own = mins.join(shared, "mh").groupBy("doc_id").agg(F.collect_set(F.struct("mh", "hot")).alias("shared"))
-    moving = _travellers(d.join(own, "doc_id"), k, m)
-    cold = _count_buckets(moving.where(F.col("mh").isNotNull()).select("doc_id", "mark", "at", "mh", "packed"), k)
-    single = moving.where(F.col("mh").isNull()).select("doc_id", "mark", "at", "w1", "w2")
+    # document by document, the minimisers to travel by bucket and those to travel singly
+    own = cut_lineage(mins.join(shared, "mh").groupBy("doc_id").agg(
+        F.collect_set(F.when(~F.col("hot"), F.col("mh"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("mh"))).alias("warm")))
+    of = lambda c: d.join(own.where(F.size(c) > 0).select("doc_id", F.col(c).alias("shared")), "doc_id")
+    cold = _count_buckets(_travellers(of("cold"), k, m, False), k)
+    single = _travellers(of("warm"), k, m, True)
     first = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
     again = single.join(first, ["w1", "w2"]).where(F.col("first") < F.col("doc_id")).select("doc_id", "mark", F.col("at").alias("a"), F.col("at").alias("b"))
     gone = cold.unionByName(again).groupBy("doc_id").agg(F.collect_list(F.struct("mark", "a", "b")).alias("gone"))
