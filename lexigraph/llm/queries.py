@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import chat_format, packing, prob_minhash, quality_rules, source_mix, substring_dedup
+from . import chat_format, line_dedup, packing, prob_minhash, quality_rules, source_mix, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -181,3 +181,26 @@ FROM d LEFT JOIN s USING (rid)
 def q_op7(spark, sf_dir):
     """Words left after removing 50-word windows that an earlier document holds."""
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op10_line_dedup", """
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, regexp_matches(s, '[^\\x20\\x09-\\x0D]') AS solid FROM d),
+f AS (SELECT s, min((doc_id, line)) AS p FROM w WHERE solid GROUP BY s),
+h AS (SELECT s, p, length(s) AS n, unnest([length(s), length(s) - 1]) AS l FROM f WHERE length(s) >= 20),
+k AS (SELECT *, unnest(['a' || left(s, CAST(l // 2 AS INT)), 'b' || right(s, CAST(l // 2 AS INT))]) AS half FROM h),
+c AS (SELECT DISTINCT a.s AS s, a.p AS p, b.s AS t, a.n AS n, b.n AS m FROM k a JOIN k b ON a.l = b.l AND a.half = b.half AND b.p < a.p AND least(a.n, b.n) = a.l),
+e AS (SELECT DISTINCT s FROM c WHERE
+        CASE WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: s[i] <> t[i])) = 1
+             WHEN n = m + 1 THEN len(list_filter(range(1, n + 1), lambda i: s[1:i - 1] || s[i + 1:] = t)) > 0
+             ELSE len(list_filter(range(1, m + 1), lambda i: t[1:i - 1] || t[i + 1:] = s)) > 0 END),
+g AS (SELECT doc_id, line, w.s, solid AND ((doc_id, line) <> f.p OR e.s IS NOT NULL) AS gone FROM w LEFT JOIN f ON w.s = f.s AND solid LEFT JOIN e ON w.s = e.s)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (WHERE gone IS NOT TRUE), '')) AS kept_sha256
+FROM g GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
+""")
+def q_op10(spark, sf_dir):
+    """Lines left after removing repeats and lines one edit from an earlier one."""
+    d = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", "kept_sha256")
