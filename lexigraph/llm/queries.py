@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import chat_format, line_dedup, packing, prob_minhash, quality_rules, source_mix, substring_dedup
+from . import chat_format, fingerprints, importance, language_id, line_dedup, packing, prob_minhash, quality_rules, source_mix, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -204,3 +204,21 @@ def q_op10(spark, sf_dir):
     """Lines left after removing repeats and lines one edit from an earlier one."""
     d = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+@query("op2_language_id")
+def q_op2(spark, sf_dir):
+    """Predicted language of every document, learned from those not held out."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_importance_resampling")
+def q_op8(spark, sf_dir):
+    """Importance weight of every document and whether it is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_fingerprints")
+def q_op4(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts, compared."""
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
