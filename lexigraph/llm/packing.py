@@ -13,9 +13,11 @@ windows are left unfilled.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,46 +29,60 @@ from .batches import slices, values
 WINDOW = 1024
 END_ID = 0
 _SHARD_IDS = 1 << 32
-#: A space between two characters that aren't white space always starts a
-#: token of the byte-level pattern, so texts may be cut there.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"[^\S \n]")
 _ENCODERS: dict = {}
 
 
+#: Split rule of the byte-level pre-tokeniser (fixed, part of the vocabulary's definition).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The faster library's split rule needs stack for every blank of a run.
+_LONG_BLANK = re.compile(r"\s{1000}")
+
+
+def _byte_names() -> dict[str, int]:
+    """The printable stand-ins of bytes in byte-level vocabularies: printable
+    bytes stand for themselves, the others for U+0100 and up, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def _ranked(path: str):
+    """The vocabulary as a rank table for the faster library, or None where
+    the file isn't plain byte-level BPE with ids in merge order."""
+    import tiktoken
+
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = (model["type"] == "BPE" and spec["normalizer"] is None and spec["post_processor"] is None and pre.get("type") == "ByteLevel"
+             and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("ignore_merges")
+             and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")))
+    if not plain:
+        return None
+    vocab, name = model["vocab"], _byte_names()
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(set(merged)):
+        return None
+    own = set(merged)
+    ranks = {bytes(name[c] for c in t): i for t, i in vocab.items() if i in own or len(t) == 1}
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Token ids of texts, kept per space-delimited chunk (up to ``keep``)."""
+    """Token ids of whole texts by a vocabulary file.  A plain byte-level
+    vocabulary runs in the faster of the two libraries (equal ids)."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep, self.known = keep, {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > self.keep:
-            self.known.clear()
-        for c, e in zip(chunks, self.tok.encode_batch(chunks, add_special_tokens=False)):
-            self.known[c] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without an end id."""
-        parts, new = [], {}
-        for t in texts:
-            plain = not (_ODD.search(t) or "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " ")
-            first, *rest = t.split(" ") if plain else _CUT.split(t)
-            rest = [" " + c for c in rest]
-            rest.insert(0, first)
-            parts.append(rest)
-            new |= dict.fromkeys(c for c in rest if c not in self.known)
-        if new:
-            # what _learn drops is needed again
-            if len(self.known) + len(new) > self.keep:
-                new = dict.fromkeys(c for p in parts for c in p)
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self.fast = _ranked(path)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids, without an end id."""
+        if self.fast is None or _LONG_BLANK.search(text):
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.fast.encode_to_numpy(text).astype("<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -93,7 +109,7 @@ def tokenise(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: b
         for batch in batches:
             texts = values(batch, "text", "")
             for i, j in slices(texts):
-                bufs = [b + end for b in enc.encode(texts[i:j])]
+                bufs = [enc.encode(t) + end for t in texts[i:j]]
                 cols = {"doc_id": batch.column("doc_id").slice(i, j - i), "doc_tokens": pa.array([len(b) // 4 for b in bufs], pa.int64()),
                         "crcs": pa.array([[zlib.crc32(b[k : k + step]) for k in range(0, len(b), step)] for b in bufs], pa.list_(pa.int64()))}
                 if with_ids:
