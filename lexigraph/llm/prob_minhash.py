@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
 
     Texts without a word (null, empty, blank): each row is its own class.
     Fewer than five words: equal words only.  Null doc_id: class of its
-    equal texts, else null.  Repeated rows: one class.  An empty table gives
+    equal texts, else null.  Repeated rows, and rows of one doc_id: one class.  An empty table gives
     no row.
     """
     sig = cut_lineage(signatures(docs, m))
@@ -250,7 +250,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near-duplicates: the rows whose doc_id leads its
-    class, each once (null doc_ids and texts without a word stay)."""
-    led = near_duplicates(docs.where(F.col("doc_id").isNotNull()), **options)
+    class, repeated rows once.  Null doc_ids and texts without a word stay."""
+    led = near_duplicates(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), **options)
     led = led.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(led, F.col("doc_id") == F.col("_id"), "left_anti")
+    out = docs.join(led, F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = cut_lineage(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    if repeated.isEmpty():
+        return out
+    same = F.col("doc_id") == F.col("_id")
+    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -62,7 +62,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = 2) -> D
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 2, seed: str = "",
-                rows_per_group: int = 20_000, keep: list[str] | None = None) -> DataFrame:
+                rows_per_group: int = 2_000, rows_per_bin: int = 20_000, keep: list[str] | None = None) -> DataFrame:
     """The mix's verdict on every row of ``docs`` (doc_id, text, source).
 
     Returns doc_id, size (words), source_size, target (of the source),
@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 2, seed: st
                       F.lit(c).alias("copy")) for c, t in enumerate(times)]
     rows = rows.withColumn("places", F.array(*place))
 
-    cut = _cut(rows, (3 * total) // 2, max(64, n // rows_per_group)) if total else None
+    cut = _cut(rows, (3 * total) // 2, max(64, n // rows_per_bin)) if total else None
     taken = F.lit(0)
     for c in range(max_repeats):
         ok = F.lit(False) if cut is None else _before(F.col("places")[c], cut)
@@ -140,16 +140,19 @@ def _cut(rows: DataFrame, budget: int, bins: int):
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every taken copy as a row with ``docs``' columns."""
-    cols = [c for c in docs.columns if c not in ("doc_id", "source")]
-    plain = docs.select("doc_id", "source", *[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(cols)])
-    text = plain.withColumn("text", F.col(f"_in_{cols.index('text')}"))
-    size = mix_sources(text, **options).where(F.col("copies") > 0).select("doc_id", "size", "source", "copies")
-    ranked = lambda d, *o: d.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(*o)))
-    left = ranked(text.withColumn("size", word_count(F.col("text"))).drop("text"), *[F.col(f"_in_{i}") for i in range(len(cols))])
-    right = ranked(size, F.col("copies").desc())
-    on = [left[c].eqNullSafe(right[c]) for c in ("doc_id", "source", "size", "_nth")]
-    out = left.join(right.select("doc_id", "source", "size", "_nth", "copies"), on, "inner").select(
-        left["doc_id"], left["source"], *[left[f"_in_{i}"].alias(c) for i, c in enumerate(cols)],
-        F.explode(F.sequence(F.lit(1), right["copies"])).alias("_copy"))
-    return out.select(*docs.columns)
+    """The mixed corpus: a row of ``docs`` (doc_id, text, source and any other
+    columns) per copy that the mix takes."""
+    key = ["doc_id", "source", "size"]
+    taken = cut_lineage(mix_sources(docs, **options).select(*key, "copies"))
+    if clash := {"size", "copies", "_nth", "_copy"} & set(docs.columns):
+        raise ValueError(f"rename the columns {sorted(clash)}")
+    rows = docs.withColumn("size", word_count(F.col("text")))
+    taken = taken.where(F.col("copies") > 0)
+    twins = not taken.groupBy(*key).count().where("count > 1").isEmpty()
+    if twins:  # rows that share a key are told apart by a number; else it is 1
+        nth = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+        rows, taken = rows.withColumn("_nth", nth("text")), taken.withColumn("_nth", nth(F.col("copies").desc()))
+        key = [*key, "_nth"]
+    right = taken.select(*[F.col(c).alias(f"_r_{c}") for c in key], "copies")
+    both = rows.join(right, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in key])
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[rows[c] for c in docs.columns])
