@@ -148,6 +148,7 @@ SERIES_PREFIXES = [
 DEFAULT_SERIES = "WESA"
 
 # FIXED VALUES: block-file layout.
+SEPARATOR_CHAR, SEPARATOR_RUN = "=", 20
 BLOCK_SEPARATOR = "={20,}"
 BODY_RULE = "-{20,}"
 HEADER_KEYS = ["ARCHIVE_FOLDER", "DOCUMENT", "DATE", "PLACE", "SOURCE_IMAGES", "PAGES"]

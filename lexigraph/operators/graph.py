@@ -53,69 +53,72 @@ def modularity(nodes: DataFrame, edges: DataFrame, part: DataFrame, resolution:
                        / F.lit(4.0 * m * m)).alias("q"))
 
 
-def _q(nodes, edges, part, resolution) -> float:
-    return float(modularity(nodes, edges, part, resolution).first()["q"])
-
-
 def _local_moving(nodes: DataFrame, edges: DataFrame, resolution: float, seed: int,
-                  max_rounds: int, patience: int) -> tuple[DataFrame, bool]:
+                  min_gain: float) -> tuple[DataFrame, bool]:
     """One Louvain level: returns (node -> community, moved anything).
 
-    Each sub-round is one Spark job: every node of the active half (hash
-    parity of node and round) moves to the neighbouring community of best
-    positive gain (ties: smaller community id).  Modularity is checked once
-    per level; a level that lowers it is dropped.
+    In a round, the nodes that would gain by moving to another community of
+    a neighbour (ties: the smaller id) do so with a chance of 1 / slots, by
+    hash.  Moves made at the same time can lower modularity; such a round is
+    taken back and the chance halved, else it doubles, up to a half.  The
+    level ends when no node would gain more than ``min_gain``.  Lineage is
+    cut each round.
     """
     m = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
+    part = cut_lineage(degrees(nodes, edges).select("node", F.col("node").alias("community"), "k"))
     if m == 0:
-        return nodes.select("node", F.col("node").alias("community")), False
-    k = cut_lineage(degrees(nodes, edges))
+        return part.select("node", "community"), False
+    loops = float(edges.where(F.col("src") == F.col("dst")).agg(F.sum("weight")).first()[0] or 0.0)
     d = cut_lineage(_directed(edges).where(F.col("src") != F.col("dst")))
-    start = k.select("node", F.col("node").alias("community"))
-    part, moved_any, idle = start, False, 0
-    for rnd in range(max_rounds):
-        pk = part.join(k, "node")
-        tot = pk.groupBy("community").agg(F.sum("k").alias("sigma"))
-        wc = d.join(part.select(F.col("node").alias("dst"), "community"), "dst") \
-            .groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w_uc"))
-        me = pk.join(tot.withColumnRenamed("sigma", "sigma_a"), "community") \
-            .withColumnRenamed("community", "own")
-        w_own = wc.join(me.select("node", F.col("own").alias("community")), ["node", "community"]) \
-            .select("node", F.col("w_uc").alias("w_own"))
-        me = me.join(w_own, "node", "left").fillna(0.0, ["w_own"])
-        me = me.where(F.pmod(F.xxhash64("node", F.lit(seed + rnd)), F.lit(2)) == 0)
-        cand = wc.join(me, "node").where(F.col("community") != F.col("own")).join(tot, "community")
-        gain = (F.col("w_uc") - F.col("w_own")) / F.lit(m) - F.lit(resolution) * F.col("k") * (
-            F.col("sigma") - (F.col("sigma_a") - F.col("k"))) / F.lit(2.0 * m * m)
-        best = cand.withColumn("gain", gain).where(F.col("gain") > 1e-12).groupBy("node").agg(
-            F.max_by("community", F.struct(F.round("gain", 15), -F.col("community"))).alias("to"))
-        new = part.join(best, "node", "left").select(
-            "node", F.coalesce("to", "community").alias("community"),
-            F.col("to").isNotNull().alias("moved"))
-        new = cut_lineage(new) if rnd % 4 == 3 else new.cache()
-        changed = new.where("moved").count()
-        part = new.drop("moved")
-        if changed == 0:
-            idle += 1
-            if idle >= patience:
-                break
-        else:
-            idle, moved_any = 0, True
-    if moved_any and _q(nodes, edges, part, resolution) < _q(nodes, edges, start, resolution) - 1e-12:
-        return start, False
-    return cut_lineage(part), moved_any
+
+    def moves(part: DataFrame, slots: int, rnd: int) -> tuple:
+        """The next partition, nodes moved, nodes that would gain, and the
+        modularity of the given partition."""
+        sigma = part.groupBy("community").agg(F.sum("k").alias("sigma"))
+        reach = d.join(part.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
+        reach = reach.unionByName(part.select("node", "community", F.lit(0.0).alias("weight")))
+        reach = reach.groupBy("node", "community").agg(F.sum("weight").alias("w")).join(sigma, "community")
+        own = part.select("node", F.col("community").alias("own"), "k")
+        here = F.col("community") == F.col("own")
+        value = F.col("w") / F.lit(m) - F.lit(resolution) * F.col("k") * (F.col("sigma") - F.when(here, F.col("k")).otherwise(F.lit(0.0))) / F.lit(2.0 * m * m)
+        best = reach.join(own, "node").withColumn("value", F.round(value, 15)).groupBy("node", "own", "k").agg(
+            F.max(F.struct("value", here.alias("stay"), (-F.col("community")).alias("c"))).alias("b"),
+            F.max(F.when(here, F.col("value"))).alias("now"), F.max(F.when(here, F.col("w"))).alias("w_own"),
+            F.max(F.when(here, F.col("sigma"))).alias("sigma"))
+        gains = F.col("b.value") > F.col("now") + min_gain
+        go = gains & (F.pmod(F.xxhash64("node", F.lit(seed + rnd)), F.lit(slots)) == 0)
+        new = cut_lineage(best.select("node", F.when(go, -F.col("b.c")).otherwise(F.col("own")).alias("community"), "k", go.alias("moved"), gains.alias("gains"), "w_own", "sigma"))
+        # a community's squared degree sum, spread over its members by degree
+        got = new.agg(F.count(F.when(F.col("moved"), 1)).alias("n"), F.count(F.when(F.col("gains"), 1)).alias("wants"),
+                      F.sum("w_own").alias("w"), F.sum(F.col("k") * F.col("sigma")).alias("s2")).first()
+        return new.select("node", "community", "k"), got["n"], got["wants"], (got["w"] / 2 + loops) / m - resolution * got["s2"] / (4 * m * m)
+
+    best, best_q, slots, rnd = part, None, 2, 0
+    moved_any = False
+    while True:
+        new, n, wants, q = moves(part, slots, rnd)
+        rnd += 1
+        if best_q is not None and q < best_q - 1e-12:
+            part, slots = best, 2 * slots
+            continue
+        moved_any |= part is not best
+        best, best_q = part, q
+        if not wants:
+            return best.select("node", "community"), moved_any
+        slots = 2 if n else max(1, min(slots, wants) // 2)
+        part = new if n else part
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42,
-            max_levels: int = 2, max_rounds: int = 5, patience: int = 1) -> DataFrame:
+            min_gain: float = 1e-9) -> DataFrame:
     """(node, community) - parallel Louvain: local moving then contraction,
     until a level moves nothing.  Isolated nodes stay singletons."""
     nodes = cut_lineage(nodes.select("node"))
-    edges = cut_lineage(edges.select("src", "dst", "weight"))
-    part = nodes.select("node", F.col("node").alias("community"))
-    cur_nodes, cur_edges = nodes, edges
-    for _ in range(max_levels):
-        level, moved = _local_moving(cur_nodes, cur_edges, resolution, seed, max_rounds, patience)
+    cur_edges = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    linked = cut_lineage(cur_edges.select(F.col("src").alias("node")).union(cur_edges.select("dst")).distinct())
+    part, cur_nodes = linked.select("node", F.col("node").alias("community")), linked
+    while True:
+        level, moved = _local_moving(cur_nodes, cur_edges, resolution, seed, min_gain)
         if not moved:
             break
         step = level.select(F.col("node").alias("community"), F.col("community").alias("c2"))
@@ -124,8 +127,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: i
             .join(level.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst")
         cur_edges = cut_lineage(ce.select(F.least("cs", "cd").alias("src"), F.greatest("cs", "cd").alias("dst"),
                                           "weight").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-        cur_nodes = level.select(F.col("community").alias("node")).distinct()
-    return part
+        cur_nodes = cut_lineage(level.select(F.col("community").alias("node")).distinct())
+    return nodes.join(part, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
 def number_communities(part: DataFrame, node: str = "node") -> DataFrame:

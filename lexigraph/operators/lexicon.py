@@ -7,8 +7,7 @@ Documents with no match are dropped.  Works for any k-column lexicon.
 
 Plan: tokens are counted inside each document row first (one row per
 distinct token per document, so a word repeated everywhere is not a hot
-join key), joined to the lexicon (broadcast only after a row-count check,
-shuffle join otherwise), and summed back per document.
+join key), joined to the lexicon, and summed back per document.
 """
 
 from __future__ import annotations
@@ -19,22 +18,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import explode_counts
 
-BROADCAST_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def score_documents(docs: DataFrame, lexicon: DataFrame, columns=("valence", "arousal", "dominance"),
                     doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, <col> means..., matched, coverage) for documents with a match."""
     d = docs.select(doc, T.tokens_lexicon(text).alias("toks"))
     d = d.select(doc, F.size("toks").cast("long").alias("n_tokens"), "toks")
     counts = explode_counts(d, "toks", [doc, "n_tokens"], "word", "tf")
-    lex = sized_broadcast(lexicon.select("word", *columns))
-    j = counts.join(lex, "word")
+    j = counts.join(lexicon.select("word", *columns), "word")  # Spark picks the join by the lexicon's bytes
     aggs = [(F.sum(F.col(c) * F.col("tf")) / F.sum("tf")).alias(c) for c in columns]
     out = j.groupBy(doc).agg(*aggs, F.sum("tf").cast("long").alias("matched"),
                              F.first("n_tokens").alias("n_tokens"))

@@ -1,17 +1,13 @@
 """Document similarity: all-pairs cosine over TF-IDF, kNN graph, exact
 percentile, thresholded edge list, cross-archive bridges, shared terms.
 
-Two physical methods for the same result:
-
-* ``index`` - self-join on term (pure SQL shape): cost is the sum over
-  terms of df^2, fine for small corpora, and the oracle's shape.
-* ``block`` - documents are hashed into B blocks of bounded size; every
-  block pair (i <= j) is one ``applyInPandas`` group holding the two
-  blocks' sparse rows.  The group densifies them (numpy) and multiplies;
-  it emits only what is asked for: a histogram of all pair similarities,
-  each document's local top-k, or the pairs above a threshold with their
-  top shared terms.  Memory per task is bounded by the block size, not
-  by the corpus; no n x n matrix and no all-pairs row set ever exists.
+Documents are hashed into B blocks of bounded size; every block pair
+(i <= j) is one ``applyInPandas`` group holding the two blocks' sparse
+rows.  The group multiplies them (numpy) and emits only what is asked for:
+counts of the pair similarities by bin, each document's local top-k, or the
+pairs above a threshold with their top shared terms.  Memory per task is
+bounded by the block size, not by the corpus; no n x n matrix and no
+all-pairs row set ever exists.
 
 Ties everywhere use a total order: similarity rounded to 6 places
 descending, then the neighbour's id ascending; shared terms: product
@@ -27,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship_package
+from ..session import bounded, cut_lineage, ship_package
 
 SIM_FLOOR = 0.15
 K_NEIGHBOURS = 5
@@ -48,7 +44,7 @@ def doc_vectors(rows: DataFrame, vocabulary: DataFrame, doc: str = "doc_id",
     ``len(vocabulary)`` entries (bounded by max_features), normalised in the
     row.  ``attrs`` (doc_id, src) is attached for cross-archive flags.
     """
-    v = F.broadcast(vocabulary.select("term", "term_idx", "idf"))
+    v = bounded(vocabulary.select("term", "term_idx", "idf"))
     w = rows.join(v, "term").select(doc, "term_idx", (F.col("tf") * F.col("idf")).alias("w"))
     g = w.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_idx", "w"))).alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
@@ -60,8 +56,11 @@ def doc_vectors(rows: DataFrame, vocabulary: DataFrame, doc: str = "doc_id",
     return out
 
 
-def n_blocks(n_docs: int, block_docs: int = BLOCK_DOCS) -> int:
-    return max(1, math.ceil(n_docs / block_docs))
+def n_blocks(n_docs: int, block_docs: int = BLOCK_DOCS, parallelism: int = 1) -> int:
+    """Blocks of at most ``block_docs`` documents; more of them, down to 64
+    documents, while the block pairs would not fill ``parallelism`` tasks."""
+    fill = min(math.ceil(n_docs / 64), math.ceil(math.sqrt(2 * parallelism)))
+    return max(1, math.ceil(n_docs / block_docs), fill)
 
 
 def _replicate(vecs: DataFrame, B: int, doc: str) -> DataFrame:
@@ -79,112 +78,117 @@ def _replicate(vecs: DataFrame, B: int, doc: str) -> DataFrame:
 # the block kernel (runs inside Python workers on one block pair)
 # ---------------------------------------------------------------------------
 
-def _dense(part: pd.DataFrame, V: int) -> np.ndarray:
-    X = np.zeros((len(part), V), dtype=np.float64)
-    for r, (idx, val) in enumerate(zip(part["idx"], part["val"])):
-        if idx is not None and len(idx):
-            X[r, np.asarray(idx, dtype=np.int64)] = np.asarray(val, dtype=np.float64)
+def _rows(part: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, values) of each row; a null or empty row has none."""
+    none = (np.zeros(0, dtype=np.int64), np.zeros(0))
+    return [none if idx is None or not len(idx) else (np.asarray(idx, dtype=np.int64), np.asarray(val, dtype=np.float64))
+            for idx, val in zip(part["idx"], part["val"])]
+
+
+def _dense(rows: list, V: int) -> np.ndarray:
+    X = np.zeros((len(rows), V), dtype=np.float64)
+    for r, (idx, val) in enumerate(rows):
+        X[r, idx] = val
     return X
 
 
-def _shared_terms(XA, XB, ia, ib, n_shared):
-    """Top shared term indices for pairs (XA[ia], XB[ib]): product > 0,
-    product (12 places) descending, term index ascending.  Vectorised per
-    chunk: the n-th largest product bounds the candidates, one lexsort
-    orders them all, a rank within the pair keeps the first n."""
-    out = []
-    for s in range(0, len(ia), 1024):
-        P = np.round(XA[ia[s:s + 1024]] * XB[ib[s:s + 1024]], 12)
-        m, V = P.shape
-        if m == 0:
-            continue
-        k = min(n_shared, V)
-        kth = -np.partition(-P, k - 1, axis=1)[:, k - 1]
-        r, c = np.nonzero((P >= kth[:, None]) & (P > 0))
-        o = np.lexsort((c, -P[r, c], r))
-        r, c = r[o], c[o]
-        first = np.searchsorted(r, np.arange(m))
-        keep = (np.arange(len(r)) - first[r]) < n_shared
-        r, c = r[keep], c[keep].astype(np.int32)
-        bounds = np.searchsorted(r, np.arange(m + 1))
-        out.extend(c[bounds[i]:bounds[i + 1]].tolist() for i in range(m))
+def _top_products(idx: np.ndarray, products: np.ndarray, n: int) -> list[list[int]]:
+    """Per row of ``products``: the term indices of its n largest positive
+    entries (12 places), ties by index.  ``idx`` ascends."""
+    p = np.round(products, 12)
+    order = np.argsort(-p, axis=1, kind="stable")[:, :n]
+    ok = np.take_along_axis(p, order, axis=1) > 0
+    return [idx[o[k]].astype(np.int32).tolist() for o, k in zip(order, ok)]
+
+
+def _shared_terms(left: list, right: np.ndarray, ia: np.ndarray, ib: np.ndarray, n: int) -> list[list[int]]:
+    """Top shared terms of the pairs (left row ia, right row ib).  Only the
+    left row's own terms are looked at, for all its partners at once."""
+    out: list = [None] * len(ia)
+    order = np.argsort(ia, kind="stable")
+    cuts = np.flatnonzero(np.diff(ia[order], prepend=-1))
+    for at, end in zip(cuts, np.append(cuts[1:], len(order))):
+        pairs = order[at:end]
+        idx, val = left[ia[pairs[0]]]
+        for s in range(0, len(pairs), 512):
+            some = pairs[s:s + 512]
+            for k, t in zip(some, _top_products(idx, right[np.ix_(ib[some], idx)] * val, n)):
+                out[k] = t
     return out
 
 
-def _kernel(mode: str, V: int, k: int, floor: float, lo: float, n_shared: int, nbins: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pair_frame(a, b, sim, sa, sb, terms) -> pd.DataFrame:
+    return pd.DataFrame({
+        "doc_a": np.asarray(a, dtype=np.int64), "doc_b": np.asarray(b, dtype=np.int64), "sim": np.asarray(sim, dtype=np.float64),
+        "src_a": pd.Series(sa, dtype=object), "src_b": pd.Series(sb, dtype=object), "terms": pd.Series(terms, dtype=object)})
+
+
+def _kernel(mode: str, V: int, k: int, floor: float, lo: float, hi: float, n_shared: int, nbins: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        diag = key[0] == key[1]
         L = pdf[pdf["side"] == 0].sort_values("doc").reset_index(drop=True)
-        R = pdf[pdf["side"] == 1].sort_values("doc").reset_index(drop=True)
-        diag = len(R) == 0
-        if diag:
-            R = L
-        XL, XR = _dense(L, V), (None if diag else _dense(R, V))
-        XR = XL if diag else XR
+        R = L if diag else pdf[pdf["side"] == 1].sort_values("doc").reset_index(drop=True)
+        rl = _rows(L)
+        rr = rl if diag else _rows(R)
+        XL = _dense(rl, V)
+        XR = XL if diag else _dense(rr, V)
         S = XL @ XR.T
         idL, idR = L["doc"].to_numpy(), R["doc"].to_numpy()
+        srcL, srcR = L["src"].to_numpy(dtype=object), R["src"].to_numpy(dtype=object)
         if mode == "hist":
-            vals = S[np.triu_indices(len(L), 1)] if diag else S.ravel()
-            b = np.minimum((np.clip(vals, 0.0, 1.0) * nbins).astype(np.int64), nbins - 1)
-            cnt = np.bincount(b, minlength=nbins)
-            nz = np.nonzero(cnt)[0]
-            return pd.DataFrame({"bin": nz.astype(np.int32), "n": cnt[nz].astype(np.int64)})
+            v = np.clip(S[np.triu_indices(len(L), 1)] if diag else S.ravel(), 0.0, None)
+            v = np.sort(v[(v >= lo) & (v <= hi)])
+            bins = np.minimum(((v - lo) / (hi - lo) * nbins).astype(np.int64), nbins - 1)
+            at = np.flatnonzero(np.diff(bins, prepend=-1))
+            end = np.append(at[1:], len(v))[:len(at)]  # none at all: no bin
+            return pd.DataFrame({"bin": bins[at].astype(np.int32), "n": (end - at).astype(np.int64), "mn": v[at], "mx": v[end - 1]})
         if mode == "pairs":
-            if diag:
-                ii, jj = np.triu_indices(len(L), 1)
-                keep = S[ii, jj] >= lo
-                ii, jj = ii[keep], jj[keep]
-            else:
-                ii, jj = np.nonzero(S >= lo)
-            sv = S[ii, jj]
+            ii, jj = np.nonzero(np.triu(S >= lo, 1) if diag else S >= lo)
+            terms = _shared_terms(rl, XR, ii, jj, n_shared) if n_shared else [[]] * len(ii)
             a, b = idL[ii], idR[jj]
             swap = a > b
-            terms = _shared_terms(XL, XR, ii, jj, n_shared) if n_shared else [[]] * len(ii)
-            srcL, srcR = L["src"].to_numpy(), R["src"].to_numpy()
-            sa, sb = srcL[ii], srcR[jj]
-            return pd.DataFrame({
-                "doc_a": np.where(swap, b, a), "doc_b": np.where(swap, a, b), "sim": sv,
-                "src_a": np.where(swap, sb, sa), "src_b": np.where(swap, sa, sb),
-                "terms": terms})
+            return _pair_frame(np.where(swap, b, a), np.where(swap, a, b), S[ii, jj],
+                               np.where(swap, srcR[jj], srcL[ii]), np.where(swap, srcL[ii], srcR[jj]), terms)
         # mode == "topk": each row's best k partners on the other side
-        outs = []
-        sides = [(S, idL, idR, XL, XR, L, R)]
+        sides = [(S, idL, idR, srcL, srcR, rl, XR)]
         if not diag:
-            sides.append((S.T, idR, idL, XR, XL, R, L))
-        for M, rid, cid, XA, XB, A, Bp in sides:
+            sides.append((S.T, idR, idL, srcR, srcL, rr, XL))
+        outs = []
+        for M, rid, cid, sa, sb, sparse, dense in sides:
             Mr = np.round(M, 6)
             if diag:
                 np.fill_diagonal(Mr, -np.inf)
-            cid2 = np.broadcast_to(cid, Mr.shape)
-            order = np.lexsort((cid2, -Mr), axis=1)[:, :k]
-            rows = np.repeat(np.arange(M.shape[0]), order.shape[1])
-            cols = order.ravel()
-            sv = M[rows, cols]
-            ok = (Mr[rows, cols] >= floor)
-            rows, cols, sv = rows[ok], cols[ok], sv[ok]
-            terms = _shared_terms(XA, XB, rows, cols, n_shared) if n_shared else [[]] * len(rows)
-            outs.append(pd.DataFrame({
-                "doc_a": rid[rows], "doc_b": cid[cols], "sim": sv,
-                "src_a": A["src"].to_numpy()[rows], "src_b": Bp["src"].to_numpy()[cols],
-                "terms": terms}))
-        return pd.concat(outs, ignore_index=True)
+            if min(Mr.shape) == 0:
+                continue
+            kk = min(k, Mr.shape[1])
+            kth = -np.partition(-Mr, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero((Mr >= np.maximum(kth, floor)[:, None]) & np.isfinite(Mr))
+            order = np.lexsort((cid[cols], -Mr[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            first = np.searchsorted(rows, np.arange(Mr.shape[0]))
+            keep = np.arange(len(rows)) - first[rows] < kk
+            rows, cols = rows[keep], cols[keep]
+            terms = _shared_terms(sparse, dense, rows, cols, n_shared) if n_shared else [[]] * len(rows)
+            outs.append(_pair_frame(rid[rows], cid[cols], M[rows, cols], sa[rows], sb[cols], terms))
+        return pd.concat(outs, ignore_index=True) if outs else _pair_frame([], [], [], [], [], [])
     return run
 
 
 PAIR_SCHEMA = ("doc_a long, doc_b long, sim double, src_a string, src_b string, "
                "terms array<int>")
-HIST_SCHEMA = "bin int, n long"
+HIST_SCHEMA = "bin int, n long, mn double, mx double"
 
 
 def block_products(vecs: DataFrame, V: int, n_docs: int, mode: str, k: int = K_NEIGHBOURS,
-                   floor: float = SIM_FLOOR, lo: float = 0.0, n_shared: int = N_SHARED,
+                   floor: float = SIM_FLOOR, lo: float = 0.0, hi: float = 2.0, n_shared: int = N_SHARED,
                    nbins: int = HIST_BINS, doc: str = "doc_id",
                    block_docs: int = BLOCK_DOCS) -> DataFrame:
     ship_package(vecs.sparkSession)
-    B = n_blocks(n_docs, block_docs)
+    B = n_blocks(n_docs, block_docs, vecs.sparkSession.sparkContext.defaultParallelism)
     rep = _replicate(vecs, B, doc)
     schema = HIST_SCHEMA if mode == "hist" else PAIR_SCHEMA
     return rep.groupBy("pi", "pj").applyInPandas(
-        _kernel(mode, V, k, floor, lo, n_shared, nbins), schema)
+        _kernel(mode, V, k, floor, lo, hi, n_shared, nbins), schema)
 
 
 def with_term_names(pairs: DataFrame, vocabulary: DataFrame, sep: str = ", ") -> DataFrame:
@@ -205,7 +209,9 @@ def with_term_names(pairs: DataFrame, vocabulary: DataFrame, sep: str = ", ") ->
 # ---------------------------------------------------------------------------
 
 def cosine_pairs_index(weights_df: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc_a, doc_b, sim), doc_a < doc_b, sim > 0, via a self-join on term."""
+    """(doc_a, doc_b, sim), doc_a < doc_b, sim > 0, via a self-join on term.
+    Costs the sum over terms of df^2: for small tables, to check the block
+    kernel by."""
     a = weights_df.select(F.col(doc).alias("doc_a"), "term", F.col("weight").alias("wa"))
     b = weights_df.select(F.col(doc).alias("doc_b"), "term", F.col("weight").alias("wb"))
     return a.join(b, "term").where(F.col("doc_a") < F.col("doc_b")) \
@@ -221,46 +227,37 @@ def exact_percentile(vecs: DataFrame, V: int, n_docs: int, q: float = 0.95,
     """numpy-style (linear) percentile of ALL n(n-1)/2 pair similarities,
     zeros included - exact.
 
-    Pass 1: histogram (65,536 bins) of every pair, summed over block pairs
-    (output bounded by the bin count).  The ranks needed fall in one or two
-    bins.  Pass 2: the pairs inside those bins only; their distinct values
-    with counts give the exact order statistics.
+    Each pass counts the pairs in 65,536 bins of a range, with each bin's
+    least and largest value.  The bin that holds the wanted rank is the next
+    pass's range, until it holds one value only; a few passes reach the
+    precision of a double.  Only bins reach the driver.
     """
     N = n_docs * (n_docs - 1) // 2
     if N == 0:
         return 0.0
-    hist = block_products(vecs, V, n_docs, "hist", doc=doc, block_docs=block_docs) \
-        .groupBy("bin").agg(F.sum("n").alias("n"))
-    counts = np.zeros(HIST_BINS, dtype=np.int64)
-    for r in hist.collect():   # at most HIST_BINS rows
-        counts[r["bin"]] = r["n"]
-    cum = np.cumsum(counts)
+    passes: dict = {}
+
+    def bins(lo: float, hi: float) -> list:
+        if (lo, hi) not in passes:
+            h = block_products(vecs, V, n_docs, "hist", lo=lo, hi=hi, doc=doc, block_docs=block_docs)
+            passes[lo, hi] = h.groupBy("bin").agg(F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx")).orderBy("bin").collect()
+        return passes[lo, hi]
+
+    def value_at(rank: int) -> float:
+        lo, hi, below = 0.0, 2.0, 0
+        while True:
+            for r in bins(lo, hi):
+                if rank < below + r["n"]:
+                    break
+                below += r["n"]
+            if r["mn"] == r["mx"]:
+                return r["mn"]
+            lo, hi = r["mn"], r["mx"]
+
     pos = q * (N - 1)
     k0 = int(math.floor(pos))
-    frac = pos - k0
-    k1 = min(k0 + 1, N - 1)
-    b0 = int(np.searchsorted(cum, k0, side="right"))
-    b1 = int(np.searchsorted(cum, k1, side="right"))
-    below = int(cum[b0 - 1]) if b0 > 0 else 0
-    lo = b0 / HIST_BINS
-    hi = (b1 + 1) / HIST_BINS
-    cand = block_products(vecs, V, n_docs, "pairs", lo=lo, n_shared=0, doc=doc,
-                          block_docs=block_docs)
-    if b1 + 1 < HIST_BINS:
-        cand = cand.where(F.col("sim") < F.lit(hi))
-    # distinct values inside one or two of 65,536 bins, with their counts
-    seq = [(r["sim"], r["count"]) for r in cand.groupBy("sim").count().orderBy("sim").collect()]
-
-    def value_at(k):
-        c = below
-        for v, n in seq:
-            if k < c + n:
-                return v
-            c += n
-        return seq[-1][0] if seq else 0.0
-
-    v0, v1 = value_at(k0), value_at(k1)
-    return float(v0 + frac * (v1 - v0))
+    v0, v1 = value_at(k0), value_at(min(k0 + 1, N - 1))
+    return float(v0 + (pos - k0) * (v1 - v0))
 
 
 def knn_edges(vecs: DataFrame, V: int, n_docs: int, k: int = K_NEIGHBOURS,
@@ -298,28 +295,31 @@ def threshold_pairs(vecs: DataFrame, V: int, n_docs: int, threshold: float,
     return p.where(F.round("sim", 6) >= F.lit(round(threshold, 6)))
 
 
-__all__ = ["doc_vectors", "block_products", "cosine_pairs_index", "exact_percentile",
-           "knn_edges", "threshold_pairs", "with_term_names", "cut_lineage"]
-
-
 def shared_terms_join(edges: DataFrame, vecs: DataFrame, n_shared: int = N_SHARED,
                       doc: str = "doc_id") -> DataFrame:
-    """Add ``terms`` (top shared term indices) to a set of edges by joins.
-
-    Cost is linear in edges x terms per document (a document has at most
-    max_features terms), so a kNN edge list (k per document) scales with
-    the corpus.  Order: product (12 places) desc, term index asc.
-    """
-    w = vecs.select(F.col(doc).alias("d"), F.explode(F.arrays_zip("idx", "val")).alias("e")) \
-        .select("d", F.col("e.idx").alias("t"), F.col("e.val").alias("v"))
-    wa = w.select(F.col("d").alias("doc_a"), "t", F.col("v").alias("va"))
-    wb = w.select(F.col("d").alias("doc_b"), "t", F.col("v").alias("vb"))
-    p = edges.select("doc_a", "doc_b").join(wa, "doc_a").join(wb, ["doc_b", "t"]) \
-        .withColumn("p", F.round(F.col("va") * F.col("vb"), 12)).where(F.col("p") > 0)
-    r = p.withColumn("r", F.row_number().over(
-        Window.partitionBy("doc_a", "doc_b").orderBy(F.col("p").desc(), F.col("t").asc()))) \
-        .where(F.col("r") <= n_shared)
-    top = r.groupBy("doc_a", "doc_b").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda s: s["t"]).alias("terms"))
-    return edges.drop("terms").join(top, ["doc_a", "doc_b"], "left") \
-        .withColumn("terms", F.coalesce("terms", F.array().cast("array<int>")))
+    """Add ``terms`` (top shared term indices) to a set of edges: the two
+    documents' rows are joined to each edge and intersected there, so the
+    cost is linear in edges and nothing is exploded.  Order: product (12
+    places) desc, term index asc."""
+    ship_package(vecs.sparkSession)
+    own = vecs.select(F.col(doc).alias("d"), "idx", "val")
+    both = edges.drop("terms").join(own.toDF("doc_a", "ia", "va"), "doc_a", "left").join(own.toDF("doc_b", "ib", "vb"), "doc_b", "left")
+    keep = [c for c in edges.columns if c != "terms"]
+    schema = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in keep) + ", terms array<int>"
+
+    def run(frames):
+        for f in frames:
+            terms = []
+            for ia, va, ib, vb in zip(f["ia"], f["va"], f["ib"], f["vb"]):
+                if ia is None or ib is None:
+                    terms.append([])
+                    continue
+                idx, x, y = np.intersect1d(ia, ib, assume_unique=True, return_indices=True)
+                terms.append(_top_products(idx, (np.asarray(va)[x] * np.asarray(vb)[y])[None, :], n_shared)[0])
+            yield f[keep].assign(terms=pd.Series(terms, dtype=object, index=f.index))
+
+    return both.mapInPandas(run, schema)
+
+
+__all__ = ["doc_vectors", "block_products", "cosine_pairs_index", "exact_percentile", "knn_edges", "threshold_pairs",
+           "shared_terms_join", "with_term_names", "cut_lineage"]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.arrays import explode_counts
+from ..session import bounded
 
 
 def terms(text="text", stop=None) -> F.Column:
@@ -57,12 +58,12 @@ def weights(rows: DataFrame, vocabulary: DataFrame, doc: str = "doc_id",
             broadcast_limit: int | None = 200_000) -> DataFrame:
     """(doc_id, term, term_idx, tf, weight): tf * idf scaled to unit length per document.
 
-    The vocabulary side is broadcast when it is bounded (``max_features``
-    or an explicit limit); an unbounded vocabulary is shuffle-joined.
+    The vocabulary is broadcast up to ``broadcast_limit`` rows (counted); a
+    larger one, or any with None, is joined as Spark sees fit.
     """
     v = vocabulary.select("term", "term_idx", "idf")
     if broadcast_limit is not None:
-        v = F.broadcast(v)
+        v = bounded(v, broadcast_limit)
     w = rows.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return w.withColumn("weight", F.col("w") / norm).drop("w", "idf")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 
 
 def top_values(df: DataFrame, group: str, value: str, n: int, sep: str = ", ") -> DataFrame:
@@ -74,84 +75,107 @@ def topic_label(keywords: F.Column, stop: list[str], n_keep: int = 5, n_name: in
     return kept, F.array_join(F.slice(kept, 1, n_name), " / ")
 
 
-def lda_topics(docs: DataFrame, tokens: str = "tokens", k: int = 15, max_iter: int = 20,
+def lda_topics(docs: DataFrame, tokens: str = "tokens", k: int = 15, passes: int = 20,
                min_df: int = 3, max_df: float = 0.7, seed: int = 42, stop: list[str] | None = None,
-               doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """MLlib online LDA over a bag of words (document-frequency bounds as
-    in the analysis).  Returns (assignments, topics):
-    assignments (doc_id, topic_num) - argmax of the topic distribution,
-    first topic on ties, NULL for an empty bag; topics (topic_num, topic,
-    keywords) - top 6 terms, filtered and named by :func:`topic_label`."""
+               doc: str = "doc_id", vocab_size: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """MLlib online LDA over a bag of words: every pass reads every document.
+
+    The vocabulary is the ``vocab_size`` most frequent words inside the
+    document-frequency bounds; the document prior is fixed at 1/k.  Returns
+    (assignments, topics): assignments (doc_id, topic_num) - argmax of the
+    topic distribution, first topic on ties, NULL for an empty bag; topics
+    (topic_num, topic, keywords) - top 6 terms, filtered and named by
+    :func:`topic_label`."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
-    n = docs.count()
-    cv = CountVectorizer(inputCol=tokens, outputCol="bow", minDF=float(min_df),
-                         maxDF=float(max_df * n)).fit(docs)
-    bow = cv.transform(docs.select(doc, tokens))
-    lda = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed, featuresCol="bow",
-              docConcentration=[1.0 / k] * k, subsamplingRate=min(1.0, 200.0 / max(n, 1)))
-    model = lda.fit(bow)
+    docs = cut_lineage(docs.select(doc, tokens))
+    cv = CountVectorizer(inputCol=tokens, outputCol="bow", minDF=float(min_df), vocabSize=vocab_size,
+                         maxDF=float(max_df * docs.count())).fit(docs)
+    bow = cut_lineage(cv.transform(docs).select(doc, "bow"))
+    model = LDA(k=k, maxIter=passes, optimizer="online", seed=seed, featuresCol="bow", docConcentration=[1.0 / k] * k,
+                optimizeDocConcentration=False, subsamplingRate=1.0).fit(bow)
     dist = vector_to_array(F.col("topicDistribution"))
     assign = model.transform(bow).select(
         doc, F.when(F.array_max(dist) > 0, F.array_position(dist, F.array_max(dist)) - 1)
         .cast("int").alias("topic_num"))
-    vocab = cv.vocabulary
-    words = F.array(*[F.lit(w) for w in vocab])
-    topics = model.describeTopics(6).select(
-        F.col("topic").cast("int").alias("topic_num"),
-        F.transform("termIndices", lambda i: F.element_at(words, i + 1)).alias("top"))
+    top = model.describeTopics(6)
+    # k topics of 6 words: only the names of these are looked up
+    used = {i for r in top.select("termIndices").collect() for i in r[0]}
+    names = docs.sparkSession.createDataFrame([(i, cv.vocabulary[i]) for i in sorted(used)] or [(-1, "")], "i int, word string")
+    named = top.select(F.col("topic").cast("int").alias("topic_num"), F.posexplode("termIndices").alias("r", "i")).join(names, "i")
+    topics = named.groupBy("topic_num").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("top"))
     kept, name = topic_label(F.col("top"), stop or [])
     topics = topics.select("topic_num", name.alias("topic"), F.array_join(kept, ", ").alias("keywords"))
     return assign, topics
 
 
-def density_topics(points: DataFrame, k_core: int = 3, min_size: int = 12, eps_quantile: float = 0.5,
-                   id_col: str = "vec_id", vec: str = "embedding", block_docs: int = 1500) -> DataFrame:
+def reduced_points(points: DataFrame, components: int, id_col: str, vec: str) -> DataFrame:
+    """(id, vec): the points centred and projected on their principal axes."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = points.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("x"))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="x", outputCol="xc").fit(x).transform(x)
+    out = PCA(k=components, inputCol="xc", outputCol="pc").fit(centred).transform(centred)
+    return out.select(id_col, vector_to_array("pc").alias(vec))
+
+
+def density_topics(points: DataFrame, k_core: int = 3, min_size: int = 12, eps_quantile: float = 0.9,
+                   id_col: str = "vec_id", vec: str = "embedding", block_docs: int = 1500, components: int | None = 10) -> DataFrame:
     """Density clusters on an embedding column (the HDBSCAN-style step,
-    re-expressed): core distance = distance to the k-th neighbour; points
-    are linked when their mutual-reachability distance is <= eps (a
-    quantile of core distances); connected components of the links are
-    clusters; components under ``min_size`` become topic -1 (outliers).
-    Returns (id, topic) with topics numbered by size desc."""
+    re-expressed): the points are reduced to ``components`` principal axes
+    (None: taken as they are); core distance = distance to the k-th
+    neighbour; points are linked when their mutual-reachability distance is
+    <= eps (a high quantile of core distances); connected components of the
+    links are clusters; components under ``min_size`` become topic -1
+    (outliers).  Returns (id, topic) with topics numbered by size desc."""
     from . import graph as G
     from . import quality as Q
+    if components is not None:
+        points = cut_lineage(reduced_points(points, components, id_col, vec))
     edges = Q.mutual_reach_edges(points, k_core, eps_quantile, id_col, vec, block_docs)
-    comp = G.connected_components(points.select(F.col(id_col).alias("node")), edges)
+    comp = cut_lineage(G.connected_components(points.select(F.col(id_col).alias("node")), edges))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"),
                                           F.min("node").alias("first"))
-    big = sizes.where(F.col("size") >= min_size)
-    num = big.withColumn("topic", (F.row_number().over(
+    # at most points / min_size rows are numbered
+    num = sizes.where(F.col("size") >= min_size).withColumn("topic", (F.row_number().over(
         Window.orderBy(F.col("size").desc(), F.col("first").asc())) - 1).cast("int"))
     out = comp.join(num.select("component", "topic"), "component", "left")
     return out.select(F.col("node").alias(id_col), F.coalesce("topic", F.lit(-1)).alias("topic"))
 
 
+def topic_info(assign: DataFrame, names: DataFrame, topic: str = "topic", outlier: int = -1, outlier_name: str = "") -> DataFrame:
+    """One row per topic: number of documents, share in %, name, and whether
+    it is the outlier topic.  ``names`` is (topic, name)."""
+    n = assign.groupBy(topic).agg(F.count(F.lit(1)).alias("doc_count"))
+    total = assign.agg(F.count(F.lit(1)).alias("total"))
+    out = n.join(names, topic, "left").join(F.broadcast(total))  # one row
+    return out.select(topic, "doc_count", (F.lit(100.0) * F.col("doc_count") / F.col("total")).alias("pct"),
+                      F.when(F.col(topic) == outlier, F.lit(outlier_name)).otherwise(F.col("name")).alias("name"), (F.col(topic) == outlier).alias("is_outlier"))
+
+
 def _ctfidf_unit(tf: DataFrame, cls: str) -> DataFrame:
     """(cls, term, w): class TF-IDF rows scaled to unit length per class."""
     ft = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     A = tf.agg((F.sum("tf") / F.countDistinct(cls)).alias("A")).first()["A"] or 0.0
     s = tf.join(ft, "term").withColumn("w", F.col("tf") * F.log1p(F.lit(float(A)) / F.col("f")))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(cls)))
-    return s.select(cls, "term", (F.col("w") / norm).alias("w"))
+    norm = s.groupBy(cls).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return s.join(norm, cls).select(cls, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def reduce_topics(docs: DataFrame, cls: str, target: int, tokens: str = "tokens",
-                  max_steps: int = 1000) -> DataFrame:
+def reduce_topics(docs: DataFrame, cls: str, target: int, tokens: str = "tokens") -> DataFrame:
     """(cls, topic): merge the two most similar topics (cosine of class
     TF-IDF vectors; ties: smaller ids) until ``target`` remain.  Merged
     topics pool their term counts and take the smaller id.  A driver loop
     over small DataFrames (one row per topic and term); each step is a
     self-join on term of the current topic vectors."""
-    from ..session import cut_lineage
     rows = docs.select(cls, F.explode(tokens).alias("term"))
     tf0 = cut_lineage(rows.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("tf")))
     mapping = cut_lineage(tf0.select(cls).distinct().withColumn("topic", F.col(cls)))
-    for _ in range(max_steps):
-        n = mapping.select("topic").distinct().count()
-        if n <= target:
-            break
+    # each step leaves one topic less
+    while mapping.select("topic").distinct().count() > target:
         tf = tf0.join(mapping, cls).groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
         u = _ctfidf_unit(tf, "topic")
         a = u.select(F.col("topic").alias("t1"), "term", F.col("w").alias("w1"))

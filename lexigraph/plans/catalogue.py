@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import vocab
+from ..session import as_table, bounded, cut_lineage, files_mark
 from ..sources import tables
 from . import sqlparts as S
 
@@ -39,15 +40,26 @@ def query(name: str, sql: str | None = None):
 _MEMO: dict = {}
 
 
+def remembered(spark: SparkSession, sf_dir: str, what: str, build: Callable, table: str = "documents"):
+    """What several queries share (the parsed corpus, fitted vectors) is built
+    once for each state of the input files, and again when these change."""
+    mark = files_mark(spark, tables.table_path(sf_dir, table))
+    key = (what, spark.sparkContext.applicationId, sf_dir)
+    if key not in _MEMO or _MEMO[key][0] != mark:
+        _MEMO[key] = (mark, build())
+    return _MEMO[key][1]
+
+
+def forget() -> None:
+    """Drops all that is remembered (for cold timings)."""
+    _MEMO.clear()
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document table (>= 20 words), written once per session to the
-    shared checkpoint folder - the pipeline's first materialisation point,
-    read by every later query instead of re-parsing the raw table."""
-    from ..session import cut_lineage
-    key = ("corpus", spark.sparkContext.applicationId, sf_dir)
-    if key not in _MEMO:
-        _MEMO[key] = cut_lineage(tables.corpus_from_documents(spark, sf_dir))
-    return _MEMO[key]
+    """The document table (>= 20 words), written as Parquet to the shared
+    folder - the pipeline's first hand-off, of which every later query reads
+    its columns only."""
+    return remembered(spark, sf_dir, "corpus", lambda: as_table(tables.corpus_from_documents(spark, sf_dir), "corpus"))
 
 
 def net_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,26 +202,29 @@ def q_ngram_counts(spark, sf_dir):
 # M2-M3: TF-IDF, similarity, kNN graph, percentile edges, bridges
 # ---------------------------------------------------------------------------
 
-_SIM_CACHE: dict = {}
-
-
 def sim_inputs(spark, sf_dir):
-    """(corpus, vocabulary, vectors, n_docs, V) - vectors checkpointed once
-    per session into the shared checkpoint folder and reused."""
+    """(corpus, vocabulary, vectors, n_docs, V): vectors written once to the
+    shared folder and reused."""
     from ..operators import similarity as SM
     from ..operators import tfidf as TF
-    from ..session import cut_lineage
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SIM_CACHE:
+
+    def build():
         c = corpus(spark, sf_dir)
         n = c.count()
         rows = TF.term_rows(c)
         vocab = cut_lineage(TF.fit_vocabulary(rows, n))
         V = vocab.count()
         attrs = c.select("doc_id", F.col("source_file").alias("src"))
-        vecs = cut_lineage(SM.doc_vectors(rows, vocab, attrs=attrs))
-        _SIM_CACHE[key] = (c, vocab, vecs, n, V)
-    return _SIM_CACHE[key]
+        return c, vocab, as_table(SM.doc_vectors(rows, vocab, attrs=attrs), "vectors"), n, V
+
+    return remembered(spark, sf_dir, "vectors", build)
+
+
+def vector_weights(spark, sf_dir) -> DataFrame:
+    """(doc_id, term, weight) from the stored vectors."""
+    _, vocab_df, vecs, _, _ = sim_inputs(spark, sf_dir)
+    w = vecs.select("doc_id", F.explode(F.arrays_zip("idx", "val")).alias("e")).select("doc_id", F.col("e.idx").alias("term_idx"), F.col("e.val").alias("weight"))
+    return w.join(bounded(vocab_df.select("term", "term_idx")), "term_idx").drop("term_idx")
 
 
 @query("tfidf_vocab", S.TFIDF + """
@@ -226,10 +241,7 @@ SELECT doc_id, term, round(weight, 6) AS weight FROM wts
 """)
 def q_tfidf_weights(spark, sf_dir):
     """Unit-length TF-IDF weights, one row per (document, term)."""
-    from ..operators import tfidf as TF
-    c, vocab, _, _, _ = sim_inputs(spark, sf_dir)
-    w = TF.weights(TF.term_rows(c), vocab)
-    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return vector_weights(spark, sf_dir).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("cosine_pairs", S.SIMS + """
@@ -246,10 +258,7 @@ def q_cosine_pairs(spark, sf_dir):
 def _p95(spark, sf_dir):
     from ..operators import similarity as SM
     _, _, vecs, n, V = sim_inputs(spark, sf_dir)
-    key = ("p95", spark.sparkContext.applicationId, sf_dir)
-    if key not in _SIM_CACHE:
-        _SIM_CACHE[key] = SM.exact_percentile(vecs, V, n, 0.95)
-    return _SIM_CACHE[key]
+    return SM.exact_percentile(vecs, V, n, 0.95)
 
 
 @query("sim_p95", S.SIMS + """
@@ -371,11 +380,10 @@ FLAGSHIP = "bridges"
 # ---------------------------------------------------------------------------
 
 def cooc_inputs(spark, sf_dir):
-    """(windows, top_words DataFrame, total pair count) - memoised per session."""
+    """(windows, top_words DataFrame, pair counts, total pair count)."""
     from ..operators import cooccur as CO
-    from ..session import cut_lineage
-    key = ("cooc", spark.sparkContext.applicationId, sf_dir)
-    if key not in _SIM_CACHE:
+
+    def build():
         toks = net_tokens(spark, sf_dir)
         stats = vocab.word_stats(toks)
         top = vocab.top_by(vocab.candidates(stats, 8, 3), 400, "freq", "word")
@@ -383,8 +391,9 @@ def cooc_inputs(spark, sf_dir):
         win = cut_lineage(CO.windows(toks, words))
         pairs = cut_lineage(CO.pair_counts(win))
         total = pairs.agg(F.sum("n")).first()[0] or 0
-        _SIM_CACHE[key] = (win, top, pairs, total)
-    return _SIM_CACHE[key]
+        return win, top, pairs, total
+
+    return remembered(spark, sf_dir, "windows", build)
 
 
 def _scored(spark, sf_dir):
@@ -739,8 +748,7 @@ _HDR = f"^(ARCHIVE_FOLDER|DOCUMENT(?:_ID)?|DATE|PLACE|SOURCE_IMAGES|PAGES)[{S.WS
 
 def _sql_field(key: str, default: str) -> str:
     pat = S.sql_str(f"(?m)^{key}:[{_HWS}]*(.+)$")
-    return (f"CASE WHEN regexp_matches(block, {pat}) THEN {S.strip(f'regexp_extract(block, {pat}, 1)')} "
-            f"ELSE {S.sql_str(default)} END")
+    return f"coalesce(nullif({S.strip(f'regexp_extract(block, {pat}, 1)')}, ''), {S.sql_str(default)})"
 
 
 @query("parse_blocks", """WITH files AS (
@@ -757,7 +765,7 @@ blocks AS (SELECT source_file, """ + S.strip("r") + """ AS block FROM raw),
 nb AS (SELECT * FROM blocks WHERE block <> ''),
 parsed AS (
   SELECT source_file, block,
-         regexp_matches(block, '(?m)^DOCUMENT(?:_ID)?:[""" + _HWS + """]*(.+)$') AS has_id,
+         """ + S.strip("regexp_extract(block, '(?m)^DOCUMENT(?:_ID)?:[" + _HWS + "]*(.+)$', 1)") + """ <> '' AS has_id,
          """ + S.strip("regexp_extract(block, '(?m)^DOCUMENT(?:_ID)?:[" + _HWS + "]*(.+)$', 1)") + """ AS doc_id,
          """ + _sql_field("ARCHIVE_FOLDER", "") + """ AS archive_folder,
          """ + _sql_field("DATE", "Unknown") + """ AS date,
@@ -798,7 +806,7 @@ def q_parse_blocks(spark, sf_dir):
 raw AS (SELECT source_file, unnest(regexp_split_to_array(content, '={20,}')) AS r FROM files),
 blocks AS (SELECT source_file, """ + S.strip("r") + """ AS block FROM raw)
 SELECT source_file, CAST(count(*) AS BIGINT) AS n_rejected FROM blocks
-WHERE block <> '' AND NOT regexp_matches(block, '(?m)^DOCUMENT(?:_ID)?:[""" + _HWS + """]*(.+)$')
+WHERE block <> '' AND """ + S.strip("regexp_extract(block, '(?m)^DOCUMENT(?:_ID)?:[" + _HWS + "]*(.+)$', 1)") + """ = ''
 GROUP BY source_file
 """)
 def q_block_rejects(spark, sf_dir):
@@ -827,7 +835,6 @@ def name_clusters(nodes: DataFrame, part: DataFrame, n_name: int = 3) -> DataFra
     """T3 rows: word, cluster_id (0 = largest), cluster_name (top words by
     frequency joined by ' / '), frequency, degree."""
     from ..operators import graph as G
-    from ..operators import topics as TP
     num = G.number_communities(part.select(F.col("word").alias("node"), "community"))
     j = nodes.join(num.withColumnRenamed("node", "word"), "word")
     w = j.select("cluster_id", "word", "frequency")
@@ -837,7 +844,6 @@ def name_clusters(nodes: DataFrame, part: DataFrame, n_name: int = 3) -> DataFra
     names = r.where(F.col("_r") <= n_name).groupBy("cluster_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "word"))), lambda s: s["word"]),
                      " / ").alias("cluster_name"))
-    del TP
     return j.join(names, "cluster_id").select("word", "cluster_id", "cluster_name", "frequency", "degree")
 
 
@@ -899,9 +905,8 @@ SELECT source_file, string_agg(term, ' / ' ORDER BY rk) FILTER (WHERE rk <= 4) A
 def q_group_terms(spark, sf_dir):
     """Label each source by its 4 terms of highest mean TF-IDF (absent = 0)."""
     from ..operators import tfidf as TF
-    c, vocab_df, _, _, _ = sim_inputs(spark, sf_dir)
-    w = TF.weights(TF.term_rows(c), vocab_df)
-    return TF.group_mean_terms(w, c.select("doc_id", "source_file"), "source_file")
+    c = sim_inputs(spark, sf_dir)[0]
+    return TF.group_mean_terms(vector_weights(spark, sf_dir), c.select("doc_id", "source_file"), "source_file")
 
 
 @query("concept_clusters")
@@ -927,14 +932,13 @@ def q_doc_communities(spark, sf_dir):
     by their 4 terms of highest mean TF-IDF (rows-only)."""
     from ..operators import graph as G
     from ..operators import tfidf as TF
-    c, vocab_df, _, _, _ = sim_inputs(spark, sf_dir)
+    c = sim_inputs(spark, sf_dir)[0]
     g, _ = _graph(spark, sf_dir)
     nodes = c.select(F.col("doc_id").alias("node"))
     e = g.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("sim").alias("weight"))
     num = G.number_communities(G.louvain(nodes, e, resolution=0.8))
     members = num.select(F.col("node").alias("doc_id"), "cluster_id")
-    w = TF.weights(TF.term_rows(c), vocab_df)
-    names = TF.group_mean_terms(w, members, "cluster_id").withColumnRenamed("label", "cluster_name")
+    names = TF.group_mean_terms(vector_weights(spark, sf_dir), members, "cluster_id").withColumnRenamed("label", "cluster_name")
     return members.join(names, "cluster_id", "left")
 
 
@@ -945,13 +949,14 @@ def q_doc_communities(spark, sf_dir):
 
 def _reduced(spark, sf_dir):
     from ..operators import reduce as RD
-    key = ("svd", spark.sparkContext.applicationId, sf_dir)
-    if key not in _SIM_CACHE:
+
+    def build():
         _, vocab_df, vecs, _, V = sim_inputs(spark, sf_dir)
         scores, vk, s, ratio = RD.svd_scores(vecs, V, 50)
         coords, comps, pvar = RD.pca3(scores)
-        _SIM_CACHE[key] = (scores, vk, s, ratio, coords, comps, pvar)
-    return _SIM_CACHE[key]
+        return scores, vk, s, ratio, coords, comps, pvar
+
+    return remembered(spark, sf_dir, "svd", build)
 
 
 @query("svd_coords")
@@ -1000,11 +1005,7 @@ def q_lda_topics(spark, sf_dir):
 
 def _w2v(spark, sf_dir):
     from ..operators import embed as EM
-    key = ("w2v", spark.sparkContext.applicationId, sf_dir)
-    if key not in _SIM_CACHE:
-        s = EM.sentence_tokens(corpus(spark, sf_dir))
-        _SIM_CACHE[key] = EM.train_word2vec(s)
-    return _SIM_CACHE[key]
+    return remembered(spark, sf_dir, "word2vec", lambda: EM.train_word2vec(EM.sentence_tokens(corpus(spark, sf_dir))))
 
 
 @query("word2vec_neighbours")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -58,12 +60,24 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def scalar(df: DataFrame, default=None):
-    """First column of the first row of a one-row aggregate."""
-    row = df.first()
-    if row is None or row[0] is None:
-        return default
-    return row[0]
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has ``rows`` rows at most (counted);
+    beyond that it is joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read
+    back: later reads prune columns and push filters down."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def files_mark(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of the files of a table: changes when they do."""
+    own = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(sorted(tuple(r) for r in own.collect()))
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -45,7 +45,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.txt",
     """(source_file, content) - one row per text file, bad UTF-8 replaced,
     CRLF/CR turned into LF."""
     df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    df = df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"),
+    df = df.select(F.col("_metadata.file_name").alias("source_file"),
                    normalise_newlines(F.make_valid_utf8("value")).alias("content"))
     if skip:
         df = df.where(~F.col("source_file").isin(list(skip)))
@@ -60,16 +60,30 @@ def split_blocks(files: DataFrame) -> DataFrame:
     return b.where(F.col("block") != "")
 
 
+def read_records(spark: SparkSession, path: str, glob: str = "*.txt", skip: list[str] | None = None) -> DataFrame:
+    """(source_file, block_no, block) as :func:`split_blocks` gives, read
+    record by record: for files too large for one row.  A file is split over
+    tasks at the separators; block_no ascends within a file, with gaps."""
+    sep = fixed.SEPARATOR_CHAR * fixed.SEPARATOR_RUN
+    df = spark.read.option("pathGlobFilter", glob).option("lineSep", sep).text(path)
+    # what is left of a longer run stands before the next record
+    raw = F.regexp_replace(F.make_valid_utf8("value"), f"^{fixed.SEPARATOR_CHAR}+", "")
+    df = df.select(F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("block_no"),
+                   strip_ws(normalise_newlines(raw)).alias("block")).where(F.col("block") != "")
+    return df.where(~F.col("source_file").isin(list(skip))) if skip else df
+
+
 def _field(block, key: str, default: str, lenient: bool):
-    pat = header_pattern(key, lenient)
-    return F.when(block.rlike(pat), strip_ws(F.regexp_extract(block, pat, 1))).otherwise(F.lit(default))
+    """A header's value; the default where it is missing or blank."""
+    found = strip_ws(F.regexp_extract(block, header_pattern(key, lenient), 1))
+    return F.when(found != "", found).otherwise(F.lit(default))
 
 
 def parse_blocks(blocks: DataFrame, lenient: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) from (source_file, block_no, block) rows.
 
     documents: doc_id, archive_folder, date, place, text, source_file, block_no.
-    rejects: blocks with no document id.
+    rejects: blocks with no document id, or a blank one.
     """
     blk = F.col("block")
     id_pat = header_pattern("DOCUMENT(?:_ID)?", lenient)
@@ -81,7 +95,7 @@ def parse_blocks(blocks: DataFrame, lenient: bool = False) -> tuple[DataFrame, D
     body = strip_ws(F.when(blk.rlike(fixed.BODY_RULE), ruled).otherwise(fallback))
     parsed = blocks.select(
         "source_file", "block_no", "block",
-        blk.rlike(id_pat).alias("has_id"),
+        (strip_ws(F.regexp_extract(blk, id_pat, 1)) != "").alias("has_id"),
         strip_ws(F.regexp_extract(blk, id_pat, 1)).alias("doc_id"),
         _field(blk, "ARCHIVE_FOLDER", fixed.DEFAULT_ARCHIVE, lenient).alias("archive_folder"),
         _field(blk, "DATE", fixed.DEFAULT_DATE, lenient).alias("date"),
@@ -105,4 +119,4 @@ def documents_from_files(spark: SparkSession, path: str, extra: list[str] | None
     return keep_long(docs, min_words) if min_words else docs
 
 
-__all__ = ["read_files", "split_blocks", "parse_blocks", "documents_from_files", "explode_rows"]
+__all__ = ["read_files", "read_records", "split_blocks", "parse_blocks", "documents_from_files", "explode_rows"]
