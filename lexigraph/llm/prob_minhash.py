@@ -163,34 +163,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float, broadcast_rows: i
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _cross_pairs(unsettled: DataFrame, m: int, least: float, block: int) -> DataFrame:
+def _cross_pairs(unsettled: DataFrame, m: int, band: int, least: float, block: int, best: int = 3) -> DataFrame:
     """(a, b) between components of the same bucket, registers agreeing in
-    ``least`` or more: for each item, its best partner in each other
+    ``least`` or more: for each item, its ``best`` partners in each other
     component of each block.
 
-    Rows (h, id, comp, sig, n, n_left, is_left).  Items outside the first
-    item's component meet all items of the bucket, block by block.
+    Rows (h, band, id, comp, sig, n, n_left, is_left).  Items outside the
+    first item's component meet all items of the bucket, block by block.  A
+    pair is found in the first band that it agrees in, not again in others.
     """
     nb = F.ceil(F.col("n") / block).cast("int")
     nl = F.ceil(F.col("n_left") / block).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     seq = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = unsettled.where("is_left").select("h", "id", "comp", "sig", F.lit(True).alias("l"), deal(nl).alias("bl"), seq(nb).alias("bb"))
-    right = unsettled.select("h", "id", "comp", "sig", F.lit(False).alias("l"), seq(nl).alias("bl"), deal(nb).alias("bb"))
+    cols = ["h", "band", "id", "comp", "sig"]
+    left = unsettled.where("is_left").select(*cols, F.lit(True).alias("l"), deal(nl).alias("bl"), seq(nb).alias("bb"))
+    right = unsettled.select(*cols, F.lit(False).alias("l"), seq(nl).alias("bl"), deal(nb).alias("bb"))
     kind = unsettled.schema["id"].dataType
 
     def search(t: pa.Table) -> pa.Table:
         side = t.column("l").to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, m)
-        ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
+        ids, comp, here = t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("band")[0].as_py()
         lo, hi = np.flatnonzero(side), np.flatnonzero(~side)
         out = []
         for x in lo:
-            share = (sig[hi] == sig[x]).mean(axis=1)
+            same = sig[hi] == sig[x]
+            share = same.mean(axis=1)
             ok = np.flatnonzero((share >= least) & (comp[hi] != comp[x]))
+            ok = ok[same[ok].reshape(len(ok), m // band, band).all(axis=2).argmax(axis=1) == here]
             if len(ok):
-                best = pd.DataFrame({"c": comp[hi[ok]], "s": -share[ok], "i": ids[hi[ok]]}).sort_values(["c", "s", "i"]).drop_duplicates("c")
-                out += [(ids[x], i) for i in best["i"]]
+                top = pd.DataFrame({"c": comp[hi[ok]], "s": -share[ok], "i": ids[hi[ok]]}).sort_values(["c", "s", "i"]).groupby("c").head(best)
+                out += [(ids[x], i) for i in top["i"]]
         return pa.table({"a": pa.array([min(o) for o in out], t.schema.field("id").type), "b": pa.array([max(o) for o in out], t.schema.field("id").type)})
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
@@ -217,7 +221,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
     items = cut_lineage(worded.where(F.col("doc_id").isNotNull()).groupBy("k1", "k2", "sig").agg(F.min("doc_id").alias("id")))
     width = 2 * band
     keys = F.transform(F.sequence(F.lit(0), F.lit(m // band - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * width + 1, F.lit(width))))
-    buckets = items.select("id", F.explode(keys).alias("h"))
+    buckets = items.select("id", F.posexplode(keys).alias("band", "h"))
     heads = buckets.groupBy("h").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = buckets.join(heads, "h").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
     own = items.select("id", "sig")
@@ -238,7 +242,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
     member = cut_lineage(member.join(open_, "h").withColumn("is_left", F.col("comp") != F.col("head")))
     n_left = member.where("is_left").groupBy("h").agg(F.count(F.lit(1)).alias("n_left"))
     unsettled = member.join(n_left, "h").join(own, "id")
-    more = cut_lineage(_cross_pairs(unsettled, m, similarity - slack, block).join(near, ["a", "b"], "left_anti"))
+    more = cut_lineage(_cross_pairs(unsettled, m, band, similarity - slack, block).join(near, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(_verified(more, docs, similarity, broadcast_rows))
         comp = cut_lineage(connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
