@@ -40,12 +40,18 @@ def header_line_pattern(lenient: bool = False) -> str:
     return f"^({keys})[{WS}_]*:"
 
 
+def file_name() -> F.Column:
+    """Name of the file a row comes from (paths are URL-encoded there)."""
+    last = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*.txt",
                skip: list[str] | None = None) -> DataFrame:
     """(source_file, content) - one row per text file, bad UTF-8 replaced,
     CRLF/CR turned into LF."""
     df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    df = df.select(F.col("_metadata.file_name").alias("source_file"),
+    df = df.select(file_name().alias("source_file"),
                    normalise_newlines(F.make_valid_utf8("value")).alias("content"))
     if skip:
         df = df.where(~F.col("source_file").isin(list(skip)))
@@ -68,7 +74,7 @@ def read_records(spark: SparkSession, path: str, glob: str = "*.txt", skip: list
     df = spark.read.option("pathGlobFilter", glob).option("lineSep", sep).text(path)
     # what is left of a longer run stands before the next record
     raw = F.regexp_replace(F.make_valid_utf8("value"), f"^{fixed.SEPARATOR_CHAR}+", "")
-    df = df.select(F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("block_no"),
+    df = df.select(file_name().alias("source_file"), F.monotonically_increasing_id().alias("block_no"),
                    strip_ws(normalise_newlines(raw)).alias("block")).where(F.col("block") != "")
     return df.where(~F.col("source_file").isin(list(skip))) if skip else df
 

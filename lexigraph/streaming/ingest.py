@@ -4,8 +4,8 @@ the document table.
 The block parser is row-wise (split, regex, no state), so it runs as is
 on a file stream: ``readStream.text(wholetext)`` -> split records -> parse
 -> series / word count / length filter -> parquet sink.  The file sink is
-exactly-once; progress lives with the sink.  Rejected records go to their own sink when a
-path is given.
+exactly-once; progress lives with the sink.  Rejected records go to their
+own sink when a path is given.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def stream_documents(spark: SparkSession, in_dir: str, out_dir: str, name: str =
     """
     files = (spark.readStream.option("pathGlobFilter", glob)
              .text(in_dir, wholetext=True)
-             .select(F.col("_metadata.file_name").alias("source_file"),
+             .select(BL.file_name().alias("source_file"),
                      BL.normalise_newlines(F.make_valid_utf8("value")).alias("content")))
     docs, rejects = BL.parse_blocks(BL.split_blocks(files), lenient)
     docs = with_series_and_count(docs)
