@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import vocab
-from ..session import as_table, bounded, cut_lineage, files_mark
+from ..session import as_table, bounded, checkpoint_dir, cut_lineage, files_mark
 from ..sources import tables
 from . import sqlparts as S
 
@@ -640,6 +640,36 @@ def q_class_tfidf(spark, sf_dir):
     return r.select("topic", "term", _R6("score"), F.col("rank").cast("long"))
 
 
+@query("topic_info", S.ASSIGN + """
+SELECT topic_num, CAST(count(*) AS BIGINT) AS doc_count, round(100.0 * count(*) / (SELECT count(*) FROM assign), 6) AS pct,
+       CASE WHEN topic_num = 0 THEN '""" + fixed.OUTLIER_TOPIC_NAME.replace("'", "''") + """' ELSE min(topic) END AS name, topic_num = 0 AS is_outlier
+FROM assign GROUP BY topic_num
+""")
+def q_topic_info(spark, sf_dir):
+    """Topic table: documents, share, name; topic 0 stands for the outliers."""
+    from ..operators import topics as TP
+    a = topic_assign(spark, sf_dir)
+    names = a.groupBy("topic_num").agg(F.min("topic").alias("name"))
+    t = TP.topic_info(a, names, "topic_num", 0, fixed.OUTLIER_TOPIC_NAME)
+    return t.select("topic_num", "doc_count", _R6("pct"), "name", "is_outlier")
+
+
+@query("group_archives", S.CORPUS + """,
+n AS (SELECT place, archive_folder, count(*) AS n FROM corpus GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY n DESC, archive_folder) AS r FROM n)
+SELECT place, string_agg(archive_folder, ', ' ORDER BY r) AS top FROM r WHERE r <= 2 GROUP BY place
+""")
+def q_group_archives(spark, sf_dir):
+    """The two most common archives of each group of documents (by place)."""
+    from ..operators import topics as TP
+    return TP.top_values(corpus(spark, sf_dir), "place", "archive_folder", 2)
+
+
+def _shared_path(spark, name: str) -> str:
+    import uuid
+    return f"{checkpoint_dir(spark)}/export-{uuid.uuid4()}/{name}"
+
+
 @query("export_documents", S.ASSIGN + """
 SELECT c.doc_id, c.archive_folder, c.source_file, 'Unknown' AS date, c.place, c.series,
        c.word_count, a.topic, a.keywords AS topic_keywords,
@@ -704,6 +734,16 @@ def q_silhouette_clusters(spark, sf_dir):
                     _R6("max_silhouette"), "best_fitting", "worst_fitting")
 
 
+@query("silhouette_overall", _SIL_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS n_points, CAST(count(DISTINCT label) AS BIGINT) AS n_clusters,
+       round(avg(silhouette), 6) AS mean_silhouette FROM sil
+""")
+def q_silhouette_overall(spark, sf_dir):
+    """Mean silhouette over all points of all clusters."""
+    from ..operators import quality as QL
+    return QL.overall_silhouette(_sil(spark, sf_dir)).select("n_points", "n_clusters", _R6("mean_silhouette"))
+
+
 @query("embedding_knn", S.EMB + """,
 s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS sim
       FROM e a JOIN e b ON a.vec_id <> b.vec_id),
@@ -870,6 +910,50 @@ def q_cluster_names(spark, sf_dir):
     return name_clusters(nodes, part)
 
 
+@query("clusters_csv", _CLUSTER_SQL + """
+SELECT word, CAST(cluster_id AS BIGINT) AS cluster_id, cluster_name, CAST(frequency AS BIGINT) AS frequency,
+       CAST(degree AS BIGINT) AS degree
+FROM cn JOIN cid USING (community) JOIN nm USING (community)
+""")
+def q_clusters_csv(spark, sf_dir):
+    """The cluster table written as CSV in its order and read again."""
+    from ..sources import export as X
+    path = _shared_path(spark, "concept_clusters.csv")
+    X.write_csv(q_cluster_names(spark, sf_dir), path, table="clusters")
+    return X.read_csv(spark, path, "word string, cluster_id long, cluster_name string, frequency long, degree long")
+
+
+@query("topics_json", ORACLE["topic_summary"])
+def q_topics_json(spark, sf_dir):
+    """The topic summary written as JSON and read again."""
+    from ..sources import export as X
+    path = _shared_path(spark, "topics.json")
+    s = q_topic_summary(spark, sf_dir)
+    X.write_json(s, path, table="topics")
+    return X.read_json(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema))
+
+
+@query("lexicon_csv_scores", ORACLE["lexicon_scores"])
+def q_lexicon_csv_scores(spark, sf_dir):
+    """Lexicon scores from a lexicon read from CSV."""
+    from ..operators import lexicon as LX
+    from ..sources import export as X
+    c = corpus(spark, sf_dir)
+    path = _shared_path(spark, "lexicon.csv")
+    X.write_csv(derived_lexicon(c), path)
+    s = LX.score_documents(c, X.read_lexicon(spark, path))
+    return s.select("doc_id", _R6("valence"), _R6("arousal"), _R6("dominance"), "matched", _R6("coverage"))
+
+
+@query("bridges_csv", ORACLE["bridges"])
+def q_bridges_csv(spark, sf_dir):
+    """The bridges written as CSV in their order and read again."""
+    from ..sources import export as X
+    path = _shared_path(spark, "bridges.csv")
+    X.write_csv(_bridges(spark, sf_dir), path, table="bridges")
+    return X.read_csv(spark, path, "doc_a long, archive_a string, doc_b long, archive_b string, similarity double, shared_terms string")
+
+
 @query("modularity", S.COOC + """,
 wpart AS (SELECT word, substring(word, 1, 1) AS c FROM nodes),
 wm AS (SELECT sum(npmi) AS m FROM top_edges),
@@ -1022,6 +1106,31 @@ def q_word2vec_neighbours(spark, sf_dir):
                                       "neighbour").select("word", F.col("nword").alias("neighbour"), "sim", "rank")
 
 
+@query("probe_neighbours")
+def q_probe_neighbours(spark, sf_dir):
+    """The 5 nearest words of the probe words (those in the vocabulary), and
+    of the 20 most frequent words: the corpus may hold no probe word."""
+    top = [r["word"] for r in _top800(spark, sf_dir).limit(20).collect()]
+    return q_word2vec_neighbours(spark, sf_dir).where(F.col("word").isin([*fixed.PROBE_WORDS, *top]))
+
+
+@query("concept_silhouettes")
+def q_concept_silhouettes(spark, sf_dir):
+    """Silhouettes of the word communities in Word2Vec space: size, mean, min,
+    max, 5 best and 3 worst words of each cluster of two words or more that
+    have a vector, and the overall mean."""
+    from pyspark.ml.functions import vector_to_array
+    from ..operators import quality as QL
+    words = as_table(q_concept_clusters(spark, sf_dir).select("word", "cluster_id", "cluster_name"), "concepts")
+    vecs = _w2v(spark, sf_dir).getVectors().select("word", vector_to_array("vector").alias("embedding"))
+    pts = words.join(vecs, "word").select(F.xxhash64("word").alias("vec_id"), "word", F.col("cluster_id").alias("label"), "embedding")
+    sil = cut_lineage(QL.silhouette_points(pts).join(pts.select("vec_id", "word"), "vec_id").select("word", "label", "silhouette"))
+    per = QL.silhouette_clusters(sil, id_col="word")
+    names = words.select(F.col("cluster_id").cast("int").alias("label"), "cluster_name").distinct()
+    overall = QL.overall_silhouette(sil).select(F.col("mean_silhouette").alias("overall_mean"))
+    return per.join(names, "label").join(F.broadcast(overall))  # one row
+
+
 @query("word_coords")
 def q_word_coords(spark, sf_dir):
     """Top 800 words: PCA(3) of their Word2Vec vectors, category, frequency, size."""
@@ -1047,6 +1156,24 @@ def q_density_topics(spark, sf_dir):
     return TP.density_topics(e, id_col="vec_id", vec="embedding")
 
 
+@query("density_topic_info")
+def q_density_topic_info(spark, sf_dir):
+    """The density topics with size, share and their most common label; the
+    outlier topic under its own name."""
+    from ..operators import topics as TP
+    a = cut_lineage(q_density_topics(spark, sf_dir).join(tables.read_table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id"))
+    names = TP.top_values(a, "topic", "label", 1).withColumnRenamed("top", "name")
+    return TP.topic_info(a, names, outlier_name=fixed.OUTLIER_TOPIC_NAME)
+
+
+@query("density_match")
+def q_density_match(spark, sf_dir):
+    """For each density topic, the label that most of its points carry."""
+    from ..operators import topics as TP
+    a = q_density_topics(spark, sf_dir).join(tables.read_table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return TP.dominant_match(a.withColumnRenamed("topic", "density_topic"), "density_topic", "label")
+
+
 @query("reduced_topics")
 def q_reduced_topics(spark, sf_dir):
     """Topic reduction: the 20 sources as initial topics, merged pairwise by
