@@ -6,9 +6,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at once in a task.
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Rows that travel at once between Spark and Python.  The usual 10,000 are
+#: too many where rows are whole texts.
+ROWS = 1_000
+_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ROWS rows (a setting of the
+    session; a smaller one is left as it is)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_KEY)) <= ROWS:
+        conf.set(_KEY, ROWS)
+    return df.mapInArrow(run, schema)
 
 
 def slices(texts: list, limit: int = SLICE) -> Iterator[tuple[int, int]]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import slices, values
+from .batches import map_arrow, slices, values
 from .substring_dedup import sliding_min
 from .words import byte_sums, span_hashes
 
@@ -108,7 +108,7 @@ def level_counts(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(level[own[: len(level)] == own[FEATURE - 1 :]] if len(level) else level, minlength=LEVELS)
         yield pa.RecordBatch.from_pydict({"level": pa.array(np.arange(LEVELS)), "n": pa.array(total)})
 
-    got = docs.select(F.col("text").cast("binary").alias("_text")).mapInArrow(run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).toArrow()
+    got = map_arrow(docs.select(F.col("text").cast("binary").alias("_text")), run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(LEVELS, dtype=np.int64)
     out[got["level"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -265,4 +265,4 @@ def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
             closed = last
             held_id, held = ids.slice(upto, 1), None if last else texts[upto]
 
-    return d.select("doc_id", "text", "copy").mapInArrow(run, schema)
+    return map_arrow(d.select("doc_id", "text", "copy"), run, schema)

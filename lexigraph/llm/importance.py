@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .batches import row_function, slices, values
+from .batches import map_arrow, row_function, slices, values
 from .words import window_hashes, word_hashes
 
 
@@ -44,7 +44,7 @@ def gram_counts(docs: DataFrame, bits: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at), "n": pa.array(total[at])})
 
-    got = docs.select(F.col("text").cast("binary").alias("_text")).mapInArrow(run, "bucket long, n long")
+    got = map_arrow(docs.select(F.col("text").cast("binary").alias("_text")), run, "bucket long, n long")
     got = got.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << bits, dtype=np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
@@ -132,7 +132,7 @@ def resample(docs: DataFrame, labels: DataFrame, bits: int = 14, target_docs: in
         doc, bucket, n = _buckets(texts, bits)
         return {"n_words": n, "log_weight": np.bincount(doc, weights=ratio[bucket], minlength=len(texts))}
 
-    scored = docs.select(*cols, F.col("text").cast("binary").alias("_text")).mapInArrow(row_function(weigh, "_text", cols), schema)
+    scored = map_arrow(docs.select(*cols, F.col("text").cast("binary").alias("_text")), row_function(weigh, "_text", cols), schema)
     scored = cut_lineage(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)).withColumn("tie", F.xxhash64("doc_id")))
     worded = scored.where(F.col("n_words") > 0)
     cut = largest(worded.select("key", F.col("tie")), round(worded.count() * share)) if known["good"] else None

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .batches import row_function, values
+from .batches import map_arrow, row_function, values
 from .words import mix64
 
 _MULT = mix64(np.arange(1, 7, dtype=np.uint64))
@@ -140,7 +140,7 @@ def _document_frequency(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1)), "df": pa.array(np.append(df[at], n))})
 
-    got = docs.select("text").mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+    got = map_arrow(docs.select("text"), run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     bucket, df = got["bucket"].to_numpy(), got["df"].to_numpy()
     out = np.zeros(1 << bits, dtype=np.int64)
     out[bucket[bucket >= 0]] = df[bucket >= 0]
@@ -172,7 +172,7 @@ def train(docs: DataFrame, bits: int = 15, per_language: int = 1_000, shards: in
                                                       "at": pa.array([v[0].astype(np.int32)], pa.list_(pa.int32())), "x": pa.array([v[1].astype(np.float32)], pa.list_(pa.float32()))})
 
     sample = rows.withColumn("deal", F.xxhash64("doc_id", "text", F.lit(seed + 1))).where(draw < F.element_at(share, F.col("lang")))
-    sample = cut_lineage(sample.mapInArrow(vectors, "label int, deal long, at array<int>, x array<float>"))
+    sample = cut_lineage(map_arrow(sample, vectors, "label int, deal long, at array<int>, x array<float>"))
     fit = sample.where(F.pmod("deal", F.lit(5)) > 0).withColumn("shard", F.pmod(F.shiftright("deal", 8), F.lit(shards)))
     state = Ftrl(np.zeros_like(model.weights), np.zeros_like(model.weights))
     for _ in range(passes):
@@ -215,7 +215,7 @@ def _temperature(sample: DataFrame, model: LanguageModel) -> float:
                 total += np.log(np.exp(scaled).sum(axis=1)) - scaled[:, label]
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(grid))), "loss": pa.array(total)})
 
-    got = sample.mapInArrow(losses, "i long, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).orderBy("loss", F.abs(F.col("i") - len(grid) // 2)).first()
+    got = map_arrow(sample, losses, "i long, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).orderBy("loss", F.abs(F.col("i") - len(grid) // 2)).first()
     return float(grid[got["i"]]) if got and got["loss"] else 1.0
 
 
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     text = docs.select(*keep, F.col("text").alias("_text"))
-    return text.mapInArrow(row_function(compute, "_text", keep, empty=""), schema)
+    return map_arrow(text, row_function(compute, "_text", keep, empty=""), schema)
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

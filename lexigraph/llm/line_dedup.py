@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .batches import slices, values
+from .batches import map_arrow, slices, values
 from .words import mix64, powers, prefix_sums, span_hashes
 
 _SPACE_POINTS = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint32)
@@ -45,7 +45,7 @@ def _marks(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pieces(texts: list[str], limit: int = 1 << 20):
+def _pieces(texts: list[str], limit: int = 1 << 18):
     """Lists of (text index, first line, part), parts cut between lines, of
     about ``limit`` code points together."""
     group, total = [], 0
@@ -106,7 +106,7 @@ def line_table(docs: DataFrame, halves: bool, least: int) -> DataFrame:
                     cols |= {"n": pa.array(n.astype(np.int64)), "halves": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[long_].reshape(-1)))}
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select("doc_id", "text", "mark").mapInArrow(run, T.StructType(fields))
+    return map_arrow(docs.select("doc_id", "text", "mark"), run, T.StructType(fields))
 
 
 def _half_keys(sums, s, e, length):
@@ -157,7 +157,7 @@ def _variants(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(v1), pa.array(v2), pa.array(role.astype(np.int32)), batch.column("doc_id").take(same),
                                                       batch.column("mark").take(same), pa.array(np.full(k, x["line"], dtype=np.int64))], names=names)
 
-    return docs.select("doc_id", "text", "mark", "near").mapInArrow(_merged(run), T.StructType(fields))
+    return map_arrow(docs.select("doc_id", "text", "mark", "near"), _merged(run), T.StructType(fields))
 
 
 def _merged(run, rows: int = 50_000):
@@ -259,4 +259,4 @@ def _kept(d: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(out, pa.string()),
                                                   *[own.column(c) for c in keep]], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text", *keep])
 
-    return d.select("doc_id", "text", "mark", "gone", *keep).mapInArrow(run, T.StructType(fields))
+    return map_arrow(d.select("doc_id", "text", "mark", "gone", *keep), run, T.StructType(fields))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import slices, values
+from .batches import map_arrow, slices, values
 
 WINDOW = 1024
 END_ID = 0
@@ -116,7 +116,7 @@ def tokenise(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: b
                     cols["ids"] = pa.array(bufs, pa.binary())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+    return map_arrow(docs.select("doc_id", "text"), run, T.StructType(fields))
 
 
 class OpenWindows:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from ..session import cut_lineage
-from .batches import slices, values
+from .batches import map_arrow, slices, values
 from .words import mix64, prefix_sums, span_hashes, window_hashes, word_hashes
 
 K = 5
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, m: int = REGISTERS) -> DataFrame:
                     "doc_id": batch.column("doc_id").slice(i, j - i), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)),
                     "sig": pa.array([reg[x].tobytes() if full[x] else None for x in range(j - i)], pa.binary())})
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("_text")), run, schema)
 
 
 def _estimates(pairs: DataFrame, m: int, least: float) -> DataFrame:
@@ -136,7 +136,7 @@ def _estimates(pairs: DataFrame, m: int, least: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=np.uint16).reshape(-1, m) for c in ("sa", "sb"))
             yield t.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
-    return pairs.mapInArrow(run, pairs.select("a", "b").schema)
+    return map_arrow(pairs, run, pairs.select("a", "b").schema)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, least: float, broadcast_rows: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float, broadcast_rows: i
                 ok = [max(probability_jaccard(own(k), own(j - i + k))) >= least for k in range(j - i)]
                 yield t.slice(i, j - i).select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, pairs.select("a", "b").schema)
+    return map_arrow(both, run, pairs.select("a", "b").schema)
 
 
 def _cross_pairs(unsettled: DataFrame, m: int, band: int, least: float, block: int, best: int = 3) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .batches import row_function
+from .batches import map_arrow, row_function
 from .words import SPACES, mix64, window_hashes, word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -82,7 +82,7 @@ def text_signals(docs: DataFrame, keep: list[str]) -> DataFrame:
         for b in run(batches):
             yield b.select([f.name for f in schema.fields])
 
-    return d.mapInArrow(ordered, schema)
+    return map_arrow(d, ordered, schema)
 
 
 def _bin(v: Column) -> Column:

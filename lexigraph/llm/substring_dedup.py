@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .batches import slices, values
+from .batches import map_arrow, slices, values
 from .words import long_window_hashes, mix64, word_hashes
 
 WINDOW = 50
@@ -70,7 +70,7 @@ def _minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
                 d, _, _, mh, _, _ = super_kmers(texts[i:j], k, m)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(d + i)), "mh": pa.array(mh)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def _travellers(docs: DataFrame, k: int, m: int, single: bool) -> DataFrame:
@@ -109,7 +109,7 @@ def _travellers(docs: DataFrame, k: int, m: int, single: bool) -> DataFrame:
                 for a in range(0, len(take), 20_000):
                     yield pa.RecordBatch.from_pydict({c: v.slice(a, 20_000) for c, v in cols.items()})
 
-    return docs.select("doc_id", "text", "mark", "shared").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text", "mark", "shared"), run, schema)
 
 
 def _bucket(rows: list[tuple], k: int) -> list[list[int]]:
@@ -185,7 +185,7 @@ def _count_buckets(packed: DataFrame, k: int) -> DataFrame:
             yield batch_of(found)
 
     n = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return packed.repartition(n, "mh").sortWithinPartitions("mh", "doc_id", "mark", "at").select("mh", "doc_id", "mark", "at", "packed").mapInArrow(run, schema)
+    return map_arrow(packed.repartition(n, "mh").sortWithinPartitions("mh", "doc_id", "mark", "at").select("mh", "doc_id", "mark", "at", "packed"), run, schema)
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, hot: int = 2_000, with_text: bool = True) -> DataFrame:
@@ -245,4 +245,4 @@ def _keep(d: DataFrame, k: int, with_text: bool) -> DataFrame:
                 cols = {"doc_id": batch.column("doc_id").slice(i, j - i), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha)}
                 yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(out)} if with_text else {}))
 
-    return d.select("doc_id", "text", "mark", "gone").mapInArrow(run, T.StructType(fields))
+    return map_arrow(d.select("doc_id", "text", "mark", "gone"), run, T.StructType(fields))
