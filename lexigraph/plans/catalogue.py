@@ -1134,17 +1134,24 @@ def q_concept_silhouettes(spark, sf_dir):
 @query("word_coords")
 def q_word_coords(spark, sf_dir):
     """Top 800 words: PCA(3) of their Word2Vec vectors, category, frequency, size."""
-    from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import vector_to_array
     from ..operators import embed as EM
-    vecs = _w2v(spark, sf_dir).getVectors()
-    cen = StandardScaler(withMean=True, withStd=False, inputCol="vector", outputCol="xc").fit(vecs).transform(vecs)
-    pc = PCA(k=3, inputCol="xc", outputCol="pc").fit(cen).transform(cen) \
-        .select("word", vector_to_array("pc").alias("pc"))
+    from ..operators import reduce as RD
+    vecs = _w2v(spark, sf_dir).getVectors().select("word", vector_to_array("vector").alias("svd"))
+    pc, _, _ = RD.pca3(vecs, doc="word")
     top = EM.minmax_sizes(_top800(spark, sf_dir))
     cat = EM.categorise(top, EM.rules_table(spark))
-    return cat.join(pc, "word").select("word", *[F.col("pc")[i].alias(f"PC{i + 1}") for i in range(3)],
-                                       "category", "frequency", "size")
+    return cat.join(pc, "word").select("word", "PC1", "PC2", "PC3", "category", "frequency", "size")
+
+
+@query("word_variance")
+def q_word_variance(spark, sf_dir):
+    """Share of variance of the three axes of the word vectors."""
+    from pyspark.ml.functions import vector_to_array
+    from ..operators import reduce as RD
+    vecs = _w2v(spark, sf_dir).getVectors().select("word", vector_to_array("vector").alias("svd"))
+    _, _, ratio = RD.pca3(vecs, doc="word")
+    return spark.createDataFrame([(f"PC{i + 1}", float(r)) for i, r in enumerate(ratio)], "component string, pca_ratio double")
 
 
 @query("density_topics")
