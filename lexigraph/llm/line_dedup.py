@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import as_table, cut_lineage
 from .batches import map_arrow, slices, values
 from .words import mix64, powers, prefix_sums, span_hashes
 
@@ -80,13 +80,12 @@ def _lines_of(group) -> tuple[np.ndarray, ...]:
     return text, number, start, end, solid[end] > solid[start], points
 
 
-def line_table(docs: DataFrame, halves: bool, least: int) -> DataFrame:
-    """(doc_id, mark, line, h1, h2[, n, halves]): the lines that have a word.
-    ``halves``: keys of the first and last half, for the line as the shorter
-    and as the longer of two; none for lines under ``least`` code points."""
-    fields = [docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("mark", "line", "h1", "h2")]]
-    if halves:
-        fields += [T.StructField("n", T.LongType()), T.StructField("halves", T.ArrayType(T.LongType()))]
+def line_table(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, mark, line, h1, h2, n, halves): the lines that have a word,
+    their hashes and length, and keys of the first and last half, for the
+    line as the shorter and as the longer of two (none for lines under
+    ``least`` code points)."""
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("mark", "line", "h1", "h2", "n")], T.StructField("halves", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -94,19 +93,17 @@ def line_table(docs: DataFrame, halves: bool, least: int) -> DataFrame:
             for group in _pieces(texts):
                 text, number, s, e, ok, points = _lines_of(group)
                 text, number, s, e = text[ok], number[ok], s[ok], e[ok]
-                m = _marks(points)
-                sums, take = prefix_sums(m), pa.array(text)
-                cols = {"doc_id": batch.column("doc_id").take(take), "mark": batch.column("mark").take(take), "line": pa.array(number.astype(np.int64)),
-                        "h1": pa.array(span_hashes(sums, s, e).view(np.int64)), "h2": pa.array(span_hashes(prefix_sums(m * _OTHER ^ m >> np.uint64(29)), s, e).view(np.int64))}
-                if halves:
-                    n = e - s
-                    keys = np.stack([key for length in (n, n - 1) for key in _half_keys(sums, s, e, length)], axis=1).view(np.int64)
-                    long_ = n >= least
-                    offsets = np.concatenate([[0], np.cumsum(np.where(long_, 4, 0))]).astype(np.int32)
-                    cols |= {"n": pa.array(n.astype(np.int64)), "halves": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[long_].reshape(-1)))}
-                yield pa.RecordBatch.from_pydict(cols)
+                m, n, take = _marks(points), e - s, pa.array(text)
+                sums, other = prefix_sums(m), prefix_sums(m * _OTHER ^ m >> np.uint64(29))
+                long_ = n >= least
+                keys = np.stack([key for length in (n[long_], n[long_] - 1) for key in _half_keys(sums, s[long_], e[long_], length)], axis=1).view(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(np.where(long_, 4, 0))]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").take(take), "mark": batch.column("mark").take(take), "line": pa.array(number.astype(np.int64)),
+                    "h1": pa.array(span_hashes(sums, s, e).view(np.int64)), "h2": pa.array(span_hashes(other, s, e).view(np.int64)),
+                    "n": pa.array(n.astype(np.int64)), "halves": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))})
 
-    return map_arrow(docs.select("doc_id", "text", "mark"), run, T.StructType(fields))
+    return map_arrow(docs.select("doc_id", "text", "mark"), run, schema)
 
 
 def _half_keys(sums, s, e, length):
@@ -190,10 +187,10 @@ def _texts_of(docs: DataFrame, lists: DataFrame, bound: int) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").join(lists, "doc_id")
 
 
-def near_lines(docs: DataFrame, least: int = 20, bound: int = 500_000) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, bound: int = 500_000) -> DataFrame:
     """(doc_id, mark, line): first occurrences of lines that an earlier line
-    of the corpus resembles by one edit."""
-    lines = line_table(docs, True, least)
+    of the corpus resembles by one edit.  ``lines`` is the line table of
+    ``docs``, with halves."""
     place = F.struct("doc_id", "line", "mark")
     keyed = lines.where(F.size("halves") > 0).select("doc_id", "mark", "line", "h1", "h2", "n", F.posexplode("halves").alias("i", "half"))
     keyed = keyed.withColumn("length", F.col("n") - F.floor(F.col("i") / 2))
@@ -231,11 +228,12 @@ def remove_lines(docs: DataFrame, least: int = 20, bound: int = 500_000, keep: l
     """
     d = docs.select("doc_id", "text", *(keep or [])).withColumn("mark", F.xxhash64("text"))
     own = d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "mark")
-    lines = line_table(own, False, least)
+    # read four times: as a table, texts are split and hashed once
+    lines = as_table(line_table(own, least), "lines")
     place = F.struct("doc_id", "line", "mark")
     first = lines.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h1", "h2", "p")
     equal = lines.join(_sized(first, bound), ["h1", "h2"]).where(place != F.col("p")).select("doc_id", "mark", "line")
-    gone = equal.unionByName(near_lines(own, least, bound))
+    gone = equal.unionByName(near_lines(own, lines, bound))
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("mark", "line")).alias("gone"))
     return _kept(d.join(gone, "doc_id", "left"), keep or [])
 
