@@ -9,7 +9,7 @@ Lineage is cut with reliable checkpoints into ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -131,12 +131,25 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: i
     return nodes.join(part, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with 0, 1, 2 ... in ``order`` as column ``name``: a range sort,
+    numbers inside each partition, and the counts of those before it (one
+    number per partition reaches the driver)."""
+    ranked = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before, total = {}, 0
+    for r in ranked.groupBy(part.alias("p")).count().orderBy("p").collect():
+        before[r["p"]], total = total, total + r["count"]
+    if not before:
+        return ranked.withColumn(name, F.col("_at")).drop("_at")
+    offset = F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]), part)
+    return ranked.withColumn(name, (offset + within).cast("long")).drop("_at")
+
+
 def number_communities(part: DataFrame, node: str = "node") -> DataFrame:
-    """Renumber communities 0.. by size desc (ties: smallest member asc).
-    The window runs over the community table (one row per community)."""
+    """Renumber communities 0.. by size desc (ties: smallest member asc)."""
     sizes = part.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min(node).alias("first"))
-    w = Window.orderBy(F.col("size").desc(), F.col("first").asc())
-    ids = sizes.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("long"))
+    ids = numbered(sizes, [F.col("size").desc(), F.col("first").asc()], "cluster_id")
     return part.join(ids.select("community", "cluster_id", "size"), "community").drop("community")
 
 

@@ -139,9 +139,8 @@ def density_topics(points: DataFrame, k_core: int = 3, min_size: int = 12, eps_q
     comp = cut_lineage(G.connected_components(points.select(F.col(id_col).alias("node")), edges))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"),
                                           F.min("node").alias("first"))
-    # at most points / min_size rows are numbered
-    num = sizes.where(F.col("size") >= min_size).withColumn("topic", (F.row_number().over(
-        Window.orderBy(F.col("size").desc(), F.col("first").asc())) - 1).cast("int"))
+    big = sizes.where(F.col("size") >= min_size)
+    num = G.numbered(big, [F.col("size").desc(), F.col("first").asc()], "topic").withColumn("topic", F.col("topic").cast("int"))
     out = comp.join(num.select("component", "topic"), "component", "left")
     return out.select(F.col("node").alias(id_col), F.coalesce("topic", F.lit(-1)).alias("topic"))
 

@@ -430,6 +430,21 @@ def q_npmi_edges(spark, sf_dir):
     return s.select("w1", "w2", "n", F.round("pmi", 6).alias("pmi"), F.round("npmi", 6).alias("npmi"))
 
 
+@query("npmi_pair_marginals", S.COOC + """,
+pair_ends AS (SELECT word, sum(n) AS c FROM (SELECT w1 AS word, n FROM pairs UNION ALL SELECT w2, n FROM pairs) GROUP BY 1),
+pm AS (SELECT p.w1, p.w2, p.n, p.n / tot.total AS pp, log2((p.n / tot.total) / ((a.c / tot.total) * (b.c / tot.total))) AS pmi
+       FROM pairs p, tot JOIN pair_ends a ON a.word = p.w1 JOIN pair_ends b ON b.word = p.w2 WHERE p.n >= 3)
+SELECT w1, w2, CAST(n AS BIGINT) AS n, round(pmi, 6) AS pmi, round(CASE WHEN pp >= 1.0 THEN 1.0 ELSE pmi / (-log2(pp)) END, 6) AS npmi
+FROM pm WHERE pmi > 0
+""")
+def q_npmi_pair_marginals(spark, sf_dir):
+    """NPMI with a word's share of all pairs as its marginal."""
+    from ..operators import cooccur as CO
+    win, _, pairs, total = cooc_inputs(spark, sf_dir)
+    s = CO.npmi(pairs, CO.anchor_counts(win), total, mode="pair")
+    return s.select("w1", "w2", "n", F.round("pmi", 6).alias("pmi"), F.round("npmi", 6).alias("npmi"))
+
+
 @query("word_graph", S.COOC + """
 SELECT w1, w2, round(npmi, 6) AS npmi, CAST(rank AS BIGINT) AS rank FROM top_edges
 """)
@@ -672,17 +687,18 @@ def _shared_path(spark, name: str) -> str:
 
 @query("export_documents", S.ASSIGN + """
 SELECT c.doc_id, c.archive_folder, c.source_file, 'Unknown' AS date, c.place, c.series,
-       c.word_count, a.topic, a.keywords AS topic_keywords,
+       c.word_count, coalesce(a.topic, 'unassigned') AS topic, coalesce(a.keywords, '') AS topic_keywords,
        substring(replace(c.text, chr(10), ' '), 1, 200) AS text_preview
-FROM corpus c JOIN assign a USING (doc_id)
+FROM corpus c LEFT JOIN assign a USING (doc_id)
 """)
 def q_export_documents(spark, sf_dir):
     """The documents export: metadata, topic by key join, 200-char preview."""
     c = corpus(spark, sf_dir)
     a = topic_assign(spark, sf_dir).select("doc_id", "topic", F.col("keywords").alias("topic_keywords"))
-    return c.join(a, "doc_id").select(
+    # a document without a topic stays, marked so
+    return c.join(a, "doc_id", "left").select(
         "doc_id", "archive_folder", "source_file", "date", "place", "series", "word_count",
-        "topic", "topic_keywords", T.preview_export("text").alias("text_preview"))
+        F.coalesce("topic", F.lit(fixed.UNASSIGNED)).alias("topic"), F.coalesce("topic_keywords", F.lit("")).alias("topic_keywords"), T.preview_export("text").alias("text_preview"))
 
 
 # ---------------------------------------------------------------------------
