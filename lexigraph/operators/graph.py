@@ -59,10 +59,11 @@ def _local_moving(nodes: DataFrame, edges: DataFrame, resolution: float, seed: i
 
     In a round, the nodes that would gain by moving to another community of
     a neighbour (ties: the smaller id) do so with a chance of 1 / slots, by
-    hash.  Moves made at the same time can lower modularity; such a round is
-    taken back and the chance halved, else it doubles, up to a half.  The
-    level ends when no node would gain more than ``min_gain``.  Lineage is
-    cut each round.
+    hash.  Moves made at the same time can lower modularity; where two rounds
+    bring nothing over the best partition, they are taken back and the chance
+    is halved.  The level ends when no node would gain by moving alone, when
+    moves nearly alone bring nothing, or when two turns of all nodes gained
+    less than ``min_gain``.  Lineage is cut each round.
     """
     m = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
     part = cut_lineage(degrees(nodes, edges).select("node", F.col("node").alias("community"), "k"))
@@ -85,7 +86,7 @@ def _local_moving(nodes: DataFrame, edges: DataFrame, resolution: float, seed: i
             F.max(F.struct("value", here.alias("stay"), (-F.col("community")).alias("c"))).alias("b"),
             F.max(F.when(here, F.col("value"))).alias("now"), F.max(F.when(here, F.col("w"))).alias("w_own"),
             F.max(F.when(here, F.col("sigma"))).alias("sigma"))
-        gains = F.col("b.value") > F.col("now") + min_gain
+        gains = F.col("b.value") > F.col("now") + 1e-12
         go = gains & (F.pmod(F.xxhash64("node", F.lit(seed + rnd)), F.lit(slots)) == 0)
         new = cut_lineage(best.select("node", F.when(go, -F.col("b.c")).otherwise(F.col("own")).alias("community"), "k", go.alias("moved"), gains.alias("gains"), "w_own", "sigma"))
         # a community's squared degree sum, spread over its members by degree
@@ -93,24 +94,30 @@ def _local_moving(nodes: DataFrame, edges: DataFrame, resolution: float, seed: i
                       F.sum("w_own").alias("w"), F.sum(F.col("k") * F.col("sigma")).alias("s2")).first()
         return new.select("node", "community", "k"), got["n"], got["wants"], (got["w"] / 2 + loops) / m - resolution * got["s2"] / (4 * m * m)
 
-    best, best_q, slots, rnd = part, None, 2, 0
-    moved_any = False
+    best, best_q, first = part, None, part
+    slots, rnd, stale, turn_q = 2, 0, 0, None
     while True:
         new, n, wants, q = moves(part, slots, rnd)
         rnd += 1
-        if best_q is not None and q < best_q - 1e-12:
-            part, slots = best, 2 * slots
+        if best_q is None or q > best_q + 1e-12:
+            best, best_q, stale = part, q, 0
+        elif part is not best:
+            stale += 1
+        if part is best and not wants or slots > 2 * max(wants, 1):
+            break
+        if stale >= 2:  # moves at the same time get in each other's way
+            part, slots, stale, turn_q = best, 2 * slots, 0, None
             continue
-        moved_any |= part is not best
-        best, best_q = part, q
-        if not wants:
-            return best.select("node", "community"), moved_any
-        slots = 2 if n else max(1, min(slots, wants) // 2)
+        if rnd % (2 * slots) == 0:
+            if turn_q is not None and best_q - turn_q < min_gain:
+                break
+            turn_q = best_q
         part = new if n else part
+    return best.select("node", "community"), best is not first
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42,
-            min_gain: float = 1e-9) -> DataFrame:
+            min_gain: float = 1e-6) -> DataFrame:
     """(node, community) - parallel Louvain: local moving then contraction,
     until a level moves nothing.  Isolated nodes stay singletons."""
     nodes = cut_lineage(nodes.select("node"))
