@@ -19,12 +19,13 @@ import zlib
 from array import array
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_arrow, slices, values
+from .batches import ROWS, map_arrow, slices, values
 
 WINDOW = 1024
 END_ID = 0
@@ -185,8 +186,10 @@ def _pack_shard(table: pa.Table, window: int, with_ids: bool) -> pa.Table:
            "ids_crc32": pa.array([crcs[r][s // window] for r, s in zip(row, start)], pa.int64()), "doc_tokens": pa.array([tokens[r] for r in row], pa.int64()),
            "sequence_id": pa.array([shard * _SHARD_IDS + s for s in seq], pa.int64()), "offset": pa.array(offset, pa.int64())}
     if with_ids:
-        out["ids"] = pa.array([array("I", ids[r][4 * s : 4 * (s + n)]).tolist() for r, s, n in zip(row, start, length)], pa.list_(pa.int32()))
-    return pa.table(out)
+        # straight from the buffers: no Python object per token
+        tokens_of = np.frombuffer(b"".join(ids[r][4 * s : 4 * (s + n)] for r, s, n in zip(row, start, length)), dtype=np.int32)
+        out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens_of))
+    return pa.Table.from_batches(pa.table(out).to_batches(max_chunksize=ROWS), pa.table(out).schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, docs_per_shard: int = 8_000, with_ids: bool = False) -> DataFrame:
