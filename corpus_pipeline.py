@@ -76,9 +76,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their ids, placed in sequences of 1024."""
+    """Token pieces with their ids, placed in sequences of 1024.  The ids go
+    with the documents, so fewer of these make a shard."""
     ship_package(spark)
-    return packing.pack_documents(_carried(docs), with_ids=True)
+    return packing.pack_documents(_carried(docs), with_ids=True, docs_per_shard=2_000)
 
 
 STAGES = [
