@@ -11,7 +11,9 @@ Texts of equal words are one item from the start.  Items whose registers
 agree in a whole band share a bucket.  In each bucket all items are held
 against its first one; the verified links make components; buckets that
 still hold several components are searched in blocks for links between
-these.  Links are verified on the full shingle sets.
+these, in rounds: the best partners of an item in each other component
+first, then the next ones, until no pair of two components is left.  Links
+are verified on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -163,42 +165,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float, broadcast_rows: i
     return map_arrow(both, run, pairs.select("a", "b").schema)
 
 
-def _cross_pairs(unsettled: DataFrame, m: int, band: int, least: float, block: int, best: int = 3) -> DataFrame:
+def _cross_pairs(unsettled: DataFrame, m: int, band: int, least: float, block: int, ranks: tuple[int, int], only: DataFrame | None = None) -> DataFrame:
     """(a, b) between components of the same bucket, registers agreeing in
-    ``least`` or more: for each item, its ``best`` partners in each other
-    component of each block.
+    ``least`` or more: for each item, its partners from rank ``ranks[0]`` up to
+    ``ranks[1]`` (by agreement) in each other component of each block, left
+    out if the two hang together by ``now``.  A row without a pair (a, b null)
+    names a block (h, bl, bb) that has such pairs of a later rank; ``only``
+    gives the blocks to search, all if None.
 
-    Rows (h, band, id, comp, sig, n, n_left, is_left).  Items outside the
+    Rows (h, band, id, comp, now, sig, n, n_left, is_left).  Items outside the
     first item's component meet all items of the bucket, block by block.  A
     pair is found in the first band that it agrees in, not again in others.
+    Ranks go by ``comp``, which stays the same from call to call.
     """
     nb = F.ceil(F.col("n") / block).cast("int")
     nl = F.ceil(F.col("n_left") / block).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     seq = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cols = ["h", "band", "id", "comp", "sig"]
+    cols = ["h", "band", "id", "comp", "now", "sig"]
     left = unsettled.where("is_left").select(*cols, F.lit(True).alias("l"), deal(nl).alias("bl"), seq(nb).alias("bb"))
     right = unsettled.select(*cols, F.lit(False).alias("l"), seq(nl).alias("bl"), deal(nb).alias("bb"))
     kind = unsettled.schema["id"].dataType
+    low, high = ranks
 
     def search(t: pa.Table) -> pa.Table:
         side = t.column("l").to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, m)
-        ids, comp, here = t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("band")[0].as_py()
+        ids, comp, now, here = t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("now").to_numpy(), t.column("band")[0].as_py()
         lo, hi = np.flatnonzero(side), np.flatnonzero(~side)
-        out = []
+        out, later = [], False
         for x in lo:
             same = sig[hi] == sig[x]
             share = same.mean(axis=1)
             ok = np.flatnonzero((share >= least) & (comp[hi] != comp[x]))
             ok = ok[same[ok].reshape(len(ok), m // band, band).all(axis=2).argmax(axis=1) == here]
             if len(ok):
-                top = pd.DataFrame({"c": comp[hi[ok]], "s": -share[ok], "i": ids[hi[ok]]}).sort_values(["c", "s", "i"]).groupby("c").head(best)
-                out += [(ids[x], i) for i in top["i"]]
-        return pa.table({"a": pa.array([min(o) for o in out], t.schema.field("id").type), "b": pa.array([max(o) for o in out], t.schema.field("id").type)})
-
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return left.unionByName(right).groupBy("h", "bl", "bb").applyInArrow(search, schema).distinct()
+                top = pd.DataFrame({"c": comp[hi[ok]], "s": -share[ok], "i": ids[hi[ok]], "n": now[hi[ok]]}).sort_values(["c", "s", "i"])
+                rank = top.groupby("c").cumcount()
+                open_ = top["n"] != now[x]
+                later = later or bool((open_ & (rank >= high)).any())
+                out += [(min(ids[x], i), max(ids[x], i)) for i in top["i"][open_ & (rank >= low) & (rank < high)]]
+        key = [t.column(k)[0].as_py() for k in ("h", "bl", "bb")] if len(t) else []
+        n = len(out)
+        rows = {"a": [o[0] for o in out] + [None] * later, "b": [o[1] for o in out] + [None] * later}
+        rows = {k: pa.array(v, t.schema.field("id").type) for k, v in rows.items()}
+        rows |= {k: pa.array([None] * n + [v] * later, t.schema.field(k).type) for k, v in zip(("h", "bl", "bb"), key)}
+        return pa.table(rows)
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("h", T.LongType()), T.StructField("bl", T.IntegerType()), T.StructField("bb", T.IntegerType())])
+    rows = left.unionByName(right)
+    if only is not None:
+        rows = rows.join(only, ["h", "bl", "bb"], "left_semi")
+    return rows.groupBy("h", "bl", "bb").applyInArrow(search, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS, band: int = BAND, slack: float = 0.2,
@@ -241,11 +259,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
     open_ = open_.where((F.col("n") > 2) & (F.col("c0") != F.col("c1"))).select("h", "n", F.col("f.comp").alias("head"))
     member = cut_lineage(member.join(open_, "h").withColumn("is_left", F.col("comp") != F.col("head")))
     n_left = member.where("is_left").groupBy("h").agg(F.count(F.lit(1)).alias("n_left"))
-    unsettled = member.join(n_left, "h").join(own, "id")
-    more = cut_lineage(_cross_pairs(unsettled, m, band, similarity - slack, block).join(near, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, similarity, broadcast_rows))
-        comp = cut_lineage(connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    member = member.join(n_left, "h")
+    # round by round over the ranks, until each estimated pair hangs together
+    # or has been verified
+    low, high, only = 0, 3, None
+    while True:
+        now = comp.select(F.col("node").alias("id"), F.col("component").alias("now"))
+        rows = member if only is None else member.join(only.select("h").distinct(), "h", "left_semi")
+        found = cut_lineage(_cross_pairs(rows.join(now, "id").join(own, "id"), m, band, similarity - slack, block, (low, high), only))
+        more = cut_lineage(found.where(F.col("a").isNotNull()).select("a", "b").join(near, ["a", "b"], "left_anti"))
+        new = None if more.isEmpty() else cut_lineage(_verified(more, docs, similarity, broadcast_rows))
+        if new is not None and not new.isEmpty():
+            links = links.unionByName(new)
+            comp = cut_lineage(connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        only = found.where(F.col("a").isNull()).select("h", "bl", "bb")
+        if only.isEmpty():
+            break
+        low, high = high, 4 * high
     classes = items.select("k1", "k2", "id").join(comp, F.col("id") == F.col("node")).select("k1", "k2", "component")
     plain = sig.where(F.col("sig").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
     return worded.join(classes, ["k1", "k2"], "left").select("doc_id", F.col("component").alias("class_id")).unionByName(plain)

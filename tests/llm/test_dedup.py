@@ -120,6 +120,27 @@ def test_chains_and_blocks_of_near_duplicates(spark):
     assert got == brute_classes([(i, t) for i, t in rows])
 
 
+def test_one_link_among_many_just_below(spark):
+    """A text that links to one member of a component, while two dozen others
+    sit just below: ranked by estimate, the one is often far down."""
+    texts = {}
+    for g in range(8):
+        def variant(places):
+            return [f"g{g}x{j // 5}" if j % 5 == 2 and j // 5 in places else f"g{g}w{j}" for j in range(1_000)]  # noqa: B023
+
+        chain = [set(range(10 + 6 * i, 29 + 6 * i)) for i in range(25)]
+        odd = {0, 1, 2, 3}
+        for i, places in enumerate([*chain, chain[12] | {0}, odd]):
+            texts[100 * g + i] = " ".join(variant(places))
+    rows = list(texts.items())
+    one = {i: set(shingle_counts(t)) for i, t in rows if i < 100}
+    near = [i for i in range(26) if len(one[i] & one[26]) / len(one[i] | one[26]) >= 0.8]
+    assert near == [25] and len(one[0] & one[26]) / len(one[0] | one[26]) > 0.79
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(df).collect()}
+    assert got == {i: i // 100 * 100 for i in texts}
+
+
 def test_first_of_each_keeps_one_row(spark, awkward):
     docs = spark.read.parquet(awkward + "/documents.parquet")
     kept = [r["doc_id"] for r in prob_minhash.first_of_each(docs).collect()]
