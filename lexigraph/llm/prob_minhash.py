@@ -6,9 +6,10 @@ shingle alone; its arrivals fall into random registers, a register keeps
 the shingle that arrives first, and a document's processes end as soon as
 the next arrival comes after the latest register's time.  Two documents
 agree in a register with the probability Jaccard similarity of their sets.
+A second set of registers, all weights 1, does so with the plain Jaccard.
 
-Texts of equal words are one item from the start.  Items whose registers
-agree in a whole band share a bucket.  In each bucket all items are held
+Texts of equal words are one item from the start.  Items whose registers of
+either set agree in a whole band share a bucket.  In each bucket all items are held
 against its first one; the verified links make components; buckets that
 still hold several components are searched in blocks for links between
 these, in rounds: the best partners of an item in each other component
@@ -113,8 +114,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, m: int = REGISTERS) -> DataFrame:
-    """(doc_id, k1, k2, sig): mark of the words and registers; sig is null
-    where the text has no word."""
+    """(doc_id, k1, k2, sig): mark of the words, and the weighted and the plain
+    registers, once where no shingle is repeated (they are the same); sig is
+    null where the text has no word."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches):
@@ -124,19 +126,28 @@ def signatures(docs: DataFrame, m: int = REGISTERS) -> DataFrame:
                 d, s, c, k1, k2 = shingles(texts[i:j])
                 reg = prob_minhash(d, s, weights(c), j - i, m)
                 full = np.bincount(d, minlength=j - i) > 0
+                twice = np.bincount(d[c > 1], minlength=j - i) > 0
+                part, place = twice[d], np.cumsum(twice) - 1
+                plain = prob_minhash(place[d[part]], s[part], np.ones(part.sum()), int(twice.sum()), m)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(i, j - i), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)),
-                    "sig": pa.array([reg[x].tobytes() if full[x] else None for x in range(j - i)], pa.binary())})
+                    "sig": pa.array([reg[x].tobytes() + (plain[place[x]].tobytes() if twice[x] else b"") if full[x] else None for x in range(j - i)], pa.binary())})
 
     return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("_text")), run, schema)
 
 
+def _registers(sigs: list[bytes], m: int) -> np.ndarray:
+    """(texts x 2 x m): weighted and plain registers of each signature."""
+    return np.frombuffer(b"".join(x if len(x) == 4 * m else x + x for x in sigs), dtype=np.uint16).reshape(-1, 2, m)
+
+
 def _estimates(pairs: DataFrame, m: int, least: float) -> DataFrame:
-    """(a, b) of rows (a, b, sa, sb) whose registers agree in ``least`` or more."""
+    """(a, b) of rows (a, b, sa, sb) whose registers of either set agree
+    in ``least`` or more."""
     def run(batches):
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=np.uint16).reshape(-1, m) for c in ("sa", "sb"))
-            yield t.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+            x, y = (_registers(t.column(c).to_pylist(), m) for c in ("sa", "sb"))
+            yield t.select(["a", "b"]).filter(pa.array((x == y).mean(axis=2).max(axis=1) >= least))
 
     return map_arrow(pairs, run, pairs.select("a", "b").schema)
 
@@ -166,8 +177,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float, broadcast_rows: i
 
 
 def _cross_pairs(unsettled: DataFrame, m: int, band: int, least: float, block: int, ranks: tuple[int, int], only: DataFrame | None = None) -> DataFrame:
-    """(a, b) between components of the same bucket, registers agreeing in
-    ``least`` or more: for each item, its partners from rank ``ranks[0]`` up to
+    """(a, b) between components of the same bucket, registers of either set
+    agreeing in ``least`` or more: for each item, its partners from rank ``ranks[0]`` up to
     ``ranks[1]`` (by agreement) in each other component of each block, left
     out if the two hang together by ``now``.  A row without a pair (a, b null)
     names a block (h, bl, bb) that has such pairs of a later rank; ``only``
@@ -190,15 +201,15 @@ def _cross_pairs(unsettled: DataFrame, m: int, band: int, least: float, block: i
 
     def search(t: pa.Table) -> pa.Table:
         side = t.column("l").to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, m)
+        sig = _registers(t.column("sig").to_pylist(), m)
         ids, comp, now, here = t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("now").to_numpy(), t.column("band")[0].as_py()
         lo, hi = np.flatnonzero(side), np.flatnonzero(~side)
         out, later = [], False
         for x in lo:
-            same = sig[hi] == sig[x]
-            share = same.mean(axis=1)
+            share = (sig[hi] == sig[x]).mean(axis=2).max(axis=1)
             ok = np.flatnonzero((share >= least) & (comp[hi] != comp[x]))
-            ok = ok[same[ok].reshape(len(ok), m // band, band).all(axis=2).argmax(axis=1) == here]
+            both = sig[hi[ok]][:, :, None] == sig[x][None, None]  # a bucket holds bands of both sets
+            ok = ok[both.reshape(len(ok), 4, m // band, band).all(axis=3).any(axis=1).argmax(axis=1) == here]
             if len(ok):
                 top = pd.DataFrame({"c": comp[hi[ok]], "s": -share[ok], "i": ids[hi[ok]], "n": now[hi[ok]]}).sort_values(["c", "s", "i"])
                 rank = top.groupby("c").cumcount()
@@ -225,9 +236,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
     doc_id of its near-duplicate class (chains of links).
 
     A link: probability Jaccard over weights, or plain Jaccard, of the
-    shingle sets is ``similarity`` or more.  With 32 bands of 4 registers a
-    pair at 0.8 shares no band once in 2 * 10^7; pairs whose registers agree
-    in less than similarity - ``slack`` (5 standard deviations) aren't verified.
+    shingle sets is ``similarity`` or more.  Each has its own registers: with
+    32 bands of 4 a pair at 0.8 shares no band once in 2 * 10^7; pairs whose
+    registers of both sets agree in less than similarity - ``slack`` (5 standard
+    deviations) aren't verified.
 
     Texts without a word (null, empty, blank): each row is its own class.
     Fewer than five words: equal words only.  Null doc_id: class of its
@@ -238,8 +250,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
     worded = sig.where(F.col("sig").isNotNull())
     items = cut_lineage(worded.where(F.col("doc_id").isNotNull()).groupBy("k1", "k2", "sig").agg(F.min("doc_id").alias("id")))
     width = 2 * band
-    keys = F.transform(F.sequence(F.lit(0), F.lit(m // band - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * width + 1, F.lit(width))))
-    buckets = items.select("id", F.posexplode(keys).alias("band", "h"))
+    bands = m // band
+    own_band = lambda i: F.col("sig").substr(i * width + 1, F.lit(width))
+    # plain bands follow the weighted ones; the same band of both is one bucket
+    every = F.sequence(F.lit(0), F.when(F.length("sig") > 2 * m, 2 * bands - 1).otherwise(bands - 1))
+    places = F.filter(every, lambda i: (i < bands) | (own_band(i) != own_band(i - bands)))
+    keys = F.transform(places, lambda i: F.struct((i % bands).alias("band"), F.xxhash64(i % bands, own_band(i)).alias("h")))
+    buckets = items.select("id", F.inline(keys))
     heads = buckets.groupBy("h").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = buckets.join(heads, "h").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
     own = items.select("id", "sig")

@@ -141,6 +141,21 @@ def test_one_link_among_many_just_below(spark):
     assert got == {i: i // 100 * 100 for i in texts}
 
 
+def test_plain_links_of_low_probability_jaccard(spark):
+    """Texts and the same with a passage many times over: plain Jaccard 0.85,
+    probability Jaccard below 0.6."""
+    rows = []
+    for g in range(12):
+        text, passage = [f"g{g}w{j}" for j in range(200)], [f"g{g}p{j}" for j in range(30)]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(text + 30 * passage))]
+    d, s, c, _, _ = prob_minhash.shingles([t.encode() for _, t in rows[:2]])
+    jp, plain = prob_minhash.probability_jaccard((s[d == 0], c[d == 0]), (s[d == 1], c[d == 1]))
+    assert jp < 0.6 and plain > 0.84
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(df).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_first_of_each_keeps_one_row(spark, awkward):
     docs = spark.read.parquet(awkward + "/documents.parquet")
     kept = [r["doc_id"] for r in prob_minhash.first_of_each(docs).collect()]
