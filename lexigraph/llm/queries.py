@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import chat_format, fingerprints, importance, language_id, line_dedup, packing, prob_minhash, quality_rules, source_mix, substring_dedup
+from . import chat_format, fingerprints, hard_negatives, importance, language_id, line_dedup, packing, ppm, prob_minhash, quality_rules, source_mix, substring_dedup, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -222,3 +222,75 @@ def q_op8(spark, sf_dir):
 def q_op4(spark, sf_dir):
     """Fingerprints of all documents and of their edited texts, compared."""
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def _remainder(doc_id: str, of: int):
+    """CRC-32 of the id's text, modulo ``of``; 0 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(of)), F.lit(0))
+
+
+@query("op11_lm_score")
+def q_op11(spark, sf_dir):
+    """PPM and single-token log probabilities of all documents, learned from
+    nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held = _remainder("doc_id", 10) == 0
+    got = ppm.score_documents(docs, ~held)
+    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_FLOORS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _nearest_sql(books: str) -> str:
+    """Each part's nearest entry: key = squared distance * 64 + entry."""
+    return f"""SELECT rid, part, v, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS key
+  FROM parts JOIN {books} USING (part) GROUP BY rid, part, v"""
+
+
+def _refined_sql(books: str, near: str) -> str:
+    return f"""SELECT part, e, coalesce(m, c) AS c FROM {books} LEFT JOIN (
+    SELECT part, e, list(m ORDER BY i) AS m FROM (
+      SELECT part, key % 64 AS e, i, CAST(floor(sum(v[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m
+      FROM (SELECT part, key, v, unnest(range(1, len(v) + 1)) AS i FROM {near}) GROUP BY ALL) GROUP BY part, e) USING (part, e)"""
+
+
+@query("op12_vector_codes", f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, {_FLOORS} AS v FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (SELECT rid, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS v FROM (SELECT rid, v, unnest(range(16)) AS part FROM k)),
+c0 AS MATERIALIZED (SELECT part, rid AS e, v AS c FROM parts WHERE rid < 64),
+n0 AS MATERIALIZED ({_nearest_sql('c0')}), c1 AS MATERIALIZED ({_refined_sql('c0', 'n0')}),
+n1 AS MATERIALIZED ({_nearest_sql('c1')}), c2 AS MATERIALIZED ({_refined_sql('c1', 'n1')}),
+n2 AS MATERIALIZED ({_nearest_sql('c2')}),
+s AS (SELECT rid, string_agg(lower(printf('%02x', CAST(key % 64 AS INT))), '' ORDER BY part) AS code, CAST(sum(key // 64) AS BIGINT) AS error FROM n2 GROUP BY rid),
+d AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, i)) AS digest FROM (SELECT part, e, unnest(c) AS x, unnest(range(len(c))) AS i FROM c2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT digest FROM d) AS codebooks_sha256
+FROM k JOIN s USING (rid)
+""")
+def q_op12(spark, sf_dir):
+    """All vectors coded by codebooks of 16 parts and 64 entries."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_hard_negatives", f"""
+WITH r AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_FLOORS} AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+a AS (SELECT DISTINCT vec_id, label, v FROM r WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.v AS own, a.label AS own_label, r.vec_id, r.label, rid,
+             CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM a JOIN r ON len(a.v) = len(r.v)),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, rid AS positive_row, score AS positive_score FROM s WHERE label = own_label AND vec_id <> anchor_id
+      QUALIFY row_number() OVER (PARTITION BY anchor_id, own, own_label ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.own, positive_row ORDER BY score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND p.own = s.own AND s.label <> own_label
+  WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+WHERE rank <= 10
+""")
+def q_op13(spark, sf_dir):
+    """Hard negatives of every hundredth vector among all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(e.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
