@@ -42,7 +42,7 @@ BITS = 9
 END, START = 256, 257
 #: Symbols that can follow a context: the bytes and the end mark.
 ALPHABET = 257
-ORDER = 4
+ORDER = 5
 #: Bytes of text in a piece.
 PIECE_BYTES = 32 << 20
 #: Symbols worked on at once.
