@@ -49,7 +49,10 @@ PIECE_BYTES = 32 << 20
 STEP = 1 << 21
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-GRAM, WORD, TEXTS = 0, 1, 2
+#: Kinds of rows of a piece.
+KEYS, TEXTS = 0, 1
+#: Keys of tokens have this bit (they are below 0), those of symbols don't.
+WORDS = np.int64(-(1 << 63))
 #: The key of the token that ends a document.
 END_TOKEN = 1
 
@@ -81,56 +84,77 @@ def token_slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.arange(i, j), np.full(j - i, END_TOKEN, dtype=np.int64)
 
 
-def _tally(found: Iterator[tuple[np.ndarray, np.ndarray]], learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each occurs in learned texts."""
-    keys, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for doc, key in found:
-        both, n = np.unique(key.view(np.uint64) << np.uint64(1) | learned[doc], return_counts=True)
-        keys.append((both >> np.uint64(1)).view(np.int64))
-        counts.append(n * (both & np.uint64(1)).astype(np.int64))
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count
+class Tally:
+    """Distinct keys of what is added, and how often each occurs in learned
+    texts; parts are merged as they come."""
+
+    def __init__(self):
+        self.parts, self.held = [], 0
+
+    def add(self, found: Iterator[tuple[np.ndarray, np.ndarray]], learned: np.ndarray) -> None:
+        for doc, key in found:
+            both, n = np.unique(key.view(np.uint64) << np.uint64(1) | learned[doc], return_counts=True)
+            self.parts.append(((both >> np.uint64(1)).view(np.int64), n * (both & np.uint64(1)).astype(np.int64)))
+            self.held += len(both)
+            if self.held > 2 * len(self.parts[0][0]) + STEP:
+                self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        key, count = (np.concatenate([p[i] for p in self.parts] or [np.zeros(0, dtype=np.int64)]) for i in (0, 1))
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        self.parts = [(key[first], np.add.reduceat(count, first) if len(first) else count)]
+        self.held = len(first)
+        return self.parts[0]
 
 
 def _pieces(docs: DataFrame, learn: Column, keep: list[str], order: int, piece_bytes: int) -> DataFrame:
     """(piece, kind, key, n, data): per piece its distinct keys with their
-    training counts, and one row of kind TEXTS that holds its documents."""
+    training counts (words below 0), and one row of kind TEXTS that holds its
+    documents."""
     schema = "piece long, kind byte, key long, n long, data binary"
 
-    def rows(piece: int, kind: int, key: np.ndarray, n: np.ndarray, data: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({
-            "piece": pa.array(np.full(len(key), piece)), "kind": pa.array(np.full(len(key), kind, dtype=np.int8)),
-            "key": pa.array(key), "n": pa.array(n), "data": pa.array(data, pa.binary())})
-
-    def close(piece: int, parts: list) -> Iterator[pa.RecordBatch]:
-        texts = [t for part in parts for t in values(part, "_text", b"")]
-        learned = np.array([v for part in parts for v in part.column("_learn").to_pylist()], dtype=np.uint64)
-        for kind, found in ((GRAM, gram_slices(texts, order)), (WORD, token_slices(texts))):
-            key, n = _tally(found, learned)
-            yield rows(piece, kind, key, n, [None] * len(key))
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for part in parts:
-                out.write_batch(part)
-        yield rows(piece, TEXTS, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), [sink.getvalue().to_pybytes()])
+    def rows(piece: int, kind: int, key: np.ndarray, n: np.ndarray, data: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"piece": pa.array(np.full(len(key), piece)), "kind": pa.array(np.full(len(key), kind, dtype=np.int8)),
+                                           "key": pa.array(key), "n": pa.array(n), "data": data})
+
+    class Piece:
+        def __init__(self, number: int, schema: pa.Schema):
+            self.number, self.size, self.grams, self.words = number, 0, Tally(), Tally()
+            self.sink = pa.BufferOutputStream()
+            self.out = pa.ipc.new_stream(self.sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+
+        def add(self, batch: pa.RecordBatch, texts: list[bytes], size: int) -> None:
+            learned = np.array(batch.column("_learn").to_pylist(), dtype=np.uint64)
+            self.grams.add(gram_slices(texts, order), learned)
+            self.words.add(token_slices(texts), learned)
+            self.out.write_batch(batch)
+            self.size += size
+
+        def close(self) -> Iterator[pa.RecordBatch]:
+            self.out.close()
+            for tally, sign in ((self.grams, 0), (self.words, WORDS)):
+                key, n = tally.merged()
+                yield rows(self.number, KEYS, key | sign, n, pa.nulls(len(key), pa.binary()))
+            none = np.zeros(1, dtype=np.int64)
+            yield rows(self.number, TEXTS, none, none, pa.array([self.sink.getvalue().to_pybytes()], pa.binary()))
 
     def run(batches):
-        piece, parts, held = TaskContext.get().partitionId() << 32, [], 0
+        number, piece = TaskContext.get().partitionId() << 32, None
         for batch in batches:
-            texts = [t.translate(_LOWER) for t in values(batch, "_text", b"")]
-            low = batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(texts, pa.binary()))
-            for i, j in slices(texts):
-                size = sum(map(len, texts[i:j]))
-                if parts and held + size > piece_bytes:
-                    yield from close(piece, parts)
-                    piece, parts, held = piece + 1, [], 0
-                parts.append(low.slice(i, j - i))
-                held += size
-        if parts:
-            yield from close(piece, parts)
+            at = batch.schema.get_field_index("_text")
+            for i, j in slices(values(batch, "_text", b"")):
+                texts = [t.translate(_LOWER) for t in values(batch.slice(i, j - i), "_text", b"")]
+                size = sum(map(len, texts))
+                if piece and piece.size + size > piece_bytes:
+                    yield from piece.close()
+                    number, piece = number + 1, None
+                low = batch.slice(i, j - i).set_column(at, "_text", pa.array(texts, pa.binary()))
+                piece = piece or Piece(number, low.schema)
+                piece.add(low, texts, size)
+        if piece:
+            yield from piece.close()
 
     text = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), learn.alias("_learn"), F.col("text").cast("binary").alias("_text"))
     return map_arrow(text, run, schema)
@@ -188,12 +212,12 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
     return seen.unionByName(open_.select("key", rest.alias("logp")))
 
 
-def _scored(found: Iterator[tuple[np.ndarray, np.ndarray]], n_docs: int, key: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Per text, the number of keys and the sums of ``columns`` over them."""
-    index = pd.Index(key)
+def _sums(found: Iterator[tuple[np.ndarray, np.ndarray]], n_docs: int, index: pd.Index, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Per text, the number of keys and the sums of ``columns``, given by the
+    places of ``index``, over them."""
     out = [np.zeros(n_docs) for _ in range(1 + len(columns))]
-    for doc, k in found:
-        at = index.get_indexer(k)
+    for doc, key in found:
+        at = index.get_indexer(key)
         if len(at) and at.min() < 0:
             raise ValueError("a key of the piece is missing")
         out[0] += np.bincount(doc, minlength=n_docs)
@@ -224,32 +248,30 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, keep: li
         raise ValueError("contexts of 1 to 6 symbols")
     keep = keep or ["doc_id"]
     pieces = as_table(_pieces(docs, F.coalesce(learn, F.lit(False)), keep, order, piece_bytes), "ppm-pieces")
-    keys = pieces.where(F.col("kind") != TEXTS).select("piece", "kind", "key", "n")
-    counts = as_table(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
-    tokens = counts.where(F.col("kind") == WORD).select("key", "n")
+    keys = pieces.where(F.col("kind") == KEYS).select("piece", "key", "n")
+    counts = as_table(keys.groupBy("key").agg(F.sum("n").alias("n")), "ppm-counts")
+    tokens = counts.where("key < 0")
     known = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     total, kinds = known["n"], known["v"]
-    base = F.log10((F.col("n") + 0.1) / F.lit(total + 0.1 * (kinds + 1)))
-    found = log_probabilities(counts.where(F.col("kind") == GRAM).select("key", "n"), order)
-    found = found.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "logp", F.lit(0).cast("byte").alias("known"))
-    found = found.unionByName(tokens.select(F.lit(WORD).cast("byte").alias("kind"), "key", base.alias("logp"), (F.col("n") > 0).cast("byte").alias("known")))
-    worth = keys.select("piece", "kind", "key").join(found, ["kind", "key"])
+    # of tokens the count travels, of symbols the log probability
+    found = log_probabilities(counts.where("key >= 0"), order).unionByName(tokens.select("key", F.col("n").cast("double").alias("logp")))
+    worth = keys.select("piece", "key").join(found, "key")
     texts = pieces.where(F.col("kind") == TEXTS).select(F.col("piece").alias("own"), "data")
     row = T.StructField("_row", T.StructType([docs.schema[c] for c in keep]))
     schema = T.StructType([row, *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:  # each piece has one row on either side
-            return pa.table({"_row": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        kind, key, logp, known = (right.column(c).to_numpy() for c in ("kind", "key", "logp", "known"))
-        gram, word = kind == GRAM, kind == WORD
+        key, logp = right.column("key").to_numpy(), right.column("logp").to_numpy()
+        grams, words = pd.Index(key[key >= 0]), pd.Index(key[key < 0] ^ WORDS)
+        logp, count = logp[key >= 0], logp[key < 0]
+        base = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
         out = []
-        for part in pa.ipc.open_stream(left.column("data")[0].as_py()):
+        for part in pa.ipc.open_stream(left.column("data")[0].as_py()):  # a piece has one row of texts
             low = values(part, "_text", b"")
-            _, score = _scored(gram_slices(low, order), len(low), key[gram], [logp[gram]])
-            n, known_n, base_score = _scored(token_slices(low), len(low), key[word], [known[word].astype(float), logp[word]])
+            _, score = _sums(gram_slices(low, order), len(low), grams, [logp])
+            n, n_known, base_score = _sums(token_slices(low), len(low), words, [(count > 0).astype(float), base])
             out.append(pa.Table.from_pydict({
-                "_row": part.column("_row"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known_n.astype(np.int64)),
+                "_row": part.column("_row"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
                 "base_score": pa.array(base_score), "score": pa.array(score)}))
         return pa.concat_tables(out)
 
