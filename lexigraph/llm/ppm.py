@@ -249,7 +249,9 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, keep: li
     keep = keep or ["doc_id"]
     pieces = as_table(_pieces(docs, F.coalesce(learn, F.lit(False)), keep, order, piece_bytes), "ppm-pieces")
     keys = pieces.where(F.col("kind") == KEYS).select("piece", "key", "n")
-    counts = as_table(keys.groupBy("key").agg(F.sum("n").alias("n")), "ppm-counts")
+    # several pieces share a task, so that their common keys are added up before they travel
+    near = keys.coalesce(-(-keys.rdd.getNumPartitions() // 4))
+    counts = as_table(near.groupBy("key").agg(F.sum("n").alias("n")), "ppm-counts")
     tokens = counts.where("key < 0")
     known = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     total, kinds = known["n"], known["v"]
