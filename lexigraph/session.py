@@ -66,14 +66,48 @@ def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
+def as_table(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read
     back: later reads prune columns and push filters down."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of tables that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Rounds:
+    """The tables of an iterative operator, as Parquet in the shared checkpoint
+    folder: lineage ends at each, and a round's table goes once the next one of
+    its name is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+        self.last: dict[str, str] = {}
+        self.count = 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table; the table of this name before it is deleted."""
+        self.count += 1
+        path = f"{self.folder}/{name}-{self.count}"
+        df.write.parquet(path)
+        old, self.last[name] = self.last.get(name), path
+        if old:
+            drop_path(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table of its own; all tables of the rounds are deleted."""
+        path = f"{self.folder}-result"
+        df.write.parquet(path)
+        drop_path(self.spark, self.folder)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def files_mark(spark: SparkSession, path: str) -> tuple:
     """Name, size and time of the files of a table: changes when they do."""
     own = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
