@@ -1,5 +1,5 @@
-"""Graph operators on (nodes, edges) DataFrames: modularity, Louvain
-communities, connected components, community numbering and naming.
+"""Graph operators on (nodes, edges) DataFrames: modularity, connected
+components, community numbering and naming.  Communities: ``communities``.
 
 Edges are undirected (src, dst, weight); internally both directions are
 kept.  All steps are joins and aggregations; the driver only loops over
@@ -53,89 +53,6 @@ def modularity(nodes: DataFrame, edges: DataFrame, part: DataFrame, resolution:
                        / F.lit(4.0 * m * m)).alias("q"))
 
 
-def _local_moving(nodes: DataFrame, edges: DataFrame, resolution: float, seed: int,
-                  tail: float) -> tuple[DataFrame, bool]:
-    """One Louvain level: returns (node -> community, moved anything).
-
-    In a round, the nodes that would gain by moving to another community of
-    a neighbour (ties: the smaller id) do so with a chance of 1 / slots, by
-    hash; of two nodes on their own, only the larger id moves to the other.
-    A round that lowers modularity, as moves at the same time can, is taken
-    back and the chance halved.  The level ends when no node would gain, when
-    moves nearly alone bring nothing, or when a round gains less than
-    ``tail`` of the best round: what is left is for the next level, on the
-    contracted graph.  Lineage is cut each round.
-    """
-    m = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
-    part = cut_lineage(degrees(nodes, edges).select("node", F.col("node").alias("community"), "k"))
-    if m == 0:
-        return part.select("node", "community"), False
-    loops = float(edges.where(F.col("src") == F.col("dst")).agg(F.sum("weight")).first()[0] or 0.0)
-    d = cut_lineage(_directed(edges).where(F.col("src") != F.col("dst")))
-
-    def moves(part: DataFrame, slots: float, rnd: int) -> tuple:
-        """The next partition, nodes moved, nodes that would gain, and the
-        modularity of the given partition."""
-        sigma = part.groupBy("community").agg(F.sum("k").alias("sigma"), F.count(F.lit(1)).alias("size"))
-        reach = d.join(part.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
-        reach = reach.unionByName(part.select("node", "community", F.lit(0.0).alias("weight")))
-        reach = reach.groupBy("node", "community").agg(F.sum("weight").alias("w")).join(sigma, "community")
-        own = part.join(sigma.select("community", F.col("size").alias("own_size")), "community").select("node", F.col("community").alias("own"), "k", "own_size")
-        here = F.col("community") == F.col("own")
-        value = F.col("w") / F.lit(m) - F.lit(resolution) * F.col("k") * (F.col("sigma") - F.when(here, F.col("k")).otherwise(F.lit(0.0))) / F.lit(2.0 * m * m)
-        swap = (F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("community") > F.col("own"))
-        best = reach.join(own, "node").where(~swap).withColumn("value", F.round(value, 15)).groupBy("node", "own", "k").agg(
-            F.max(F.struct("value", here.alias("stay"), (-F.col("community")).alias("c"))).alias("b"),
-            F.max(F.when(here, F.col("value"))).alias("now"), F.max(F.when(here, F.col("w"))).alias("w_own"),
-            F.max(F.when(here, F.col("sigma"))).alias("sigma"))
-        gains = F.col("b.value") > F.col("now") + 1e-12
-        go = gains & (F.pmod(F.xxhash64("node", F.lit(seed + rnd)), F.lit(1 << 20)) < int((1 << 20) / slots))
-        new = cut_lineage(best.select("node", F.when(go, -F.col("b.c")).otherwise(F.col("own")).alias("community"), "k", go.alias("moved"), gains.alias("gains"), "w_own", "sigma"))
-        # a community's squared degree sum, spread over its members by degree
-        got = new.agg(F.count(F.when(F.col("moved"), 1)).alias("n"), F.count(F.when(F.col("gains"), 1)).alias("wants"),
-                      F.sum("w_own").alias("w"), F.sum(F.col("k") * F.col("sigma")).alias("s2")).first()
-        return new.select("node", "community", "k"), got["n"], got["wants"], (got["w"] / 2 + loops) / m - resolution * got["s2"] / (4 * m * m)
-
-    best, best_q, first, slots, rnd, gains = part, None, part, 1.5, 0, []
-    while True:
-        new, n, wants, q = moves(part, slots, rnd)
-        rnd += 1
-        if best_q is not None and part is not best:
-            if q <= best_q + 1e-12:
-                part, slots = best, 2 * slots
-                if slots > 2 * max(wants, 1):
-                    break
-                continue
-            gains.append(q - best_q)
-        best, best_q = part, q
-        if not wants or (len(gains) > 2 and gains[-1] < tail * max(gains)):
-            break
-        part = new if n else part
-    return best.select("node", "community"), best is not first
-
-
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42,
-            tail: float = 0.05) -> DataFrame:
-    """(node, community) - parallel Louvain: local moving then contraction,
-    until a level moves nothing.  Isolated nodes stay singletons."""
-    nodes = cut_lineage(nodes.select("node"))
-    cur_edges = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    linked = cut_lineage(cur_edges.select(F.col("src").alias("node")).union(cur_edges.select("dst")).distinct())
-    part, cur_nodes = linked.select("node", F.col("node").alias("community")), linked
-    while True:
-        level, moved = _local_moving(cur_nodes, cur_edges, resolution, seed, tail)
-        if not moved:
-            break
-        step = level.select(F.col("node").alias("community"), F.col("community").alias("c2"))
-        part = cut_lineage(part.join(step, "community").select("node", F.col("c2").alias("community")))
-        ce = cur_edges.join(level.select(F.col("node").alias("src"), F.col("community").alias("cs")), "src") \
-            .join(level.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst")
-        cur_edges = cut_lineage(ce.select(F.least("cs", "cd").alias("src"), F.greatest("cs", "cd").alias("dst"),
-                                          "weight").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-        cur_nodes = cut_lineage(level.select(F.col("community").alias("node")).distinct())
-    return nodes.join(part, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
-
-
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with 0, 1, 2 ... in ``order`` as column ``name``: a range sort,
     numbers inside each partition, and the counts of those before it (one

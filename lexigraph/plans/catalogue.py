@@ -1009,39 +1009,104 @@ def q_group_terms(spark, sf_dir):
     return TF.group_mean_terms(vector_weights(spark, sf_dir), c.select("doc_id", "source_file"), "source_file")
 
 
+def _concept_clusters(spark, sf_dir) -> DataFrame:
+    """Communities (resolution 1.0) of the word network, named by their 3 most
+    frequent words."""
+    def build():
+        from ..operators import communities as CM
+        from ..operators import graph as G
+        nodes, edges = _word_nodes(spark, sf_dir)
+        ids = cut_lineage(G.numbered(nodes.select("word"), [F.col("word")], "node"))
+        e = edges.join(ids.select(F.col("word").alias("w1"), F.col("node").alias("src")), "w1") \
+            .join(ids.select(F.col("word").alias("w2"), F.col("node").alias("dst")), "w2") \
+            .select("src", "dst", F.col("npmi").alias("weight"))
+        part = CM.louvain(ids.select("node"), e, resolution=1.0)
+        return as_table(name_clusters(nodes, part.join(ids, "node").select("word", "community")), "concept-clusters")
+    return remembered(spark, sf_dir, "concept_clusters", build)
+
+
 @query("concept_clusters")
 def q_concept_clusters(spark, sf_dir):
-    """Louvain communities (resolution 1.0) of the word network, named by
-    their 3 most frequent words (rows-only: parallel Louvain is not
-    networkx's sequential one)."""
-    from ..operators import graph as G
+    """Communities of the word network (rows-only: the parts found depend on
+    the order of moves; ``concept_cluster_checks`` states what must hold)."""
+    return _concept_clusters(spark, sf_dir)
+
+
+@query("concept_cluster_checks", S.COOC + """
+SELECT n.word, CAST(n.degree AS BIGINT) AS degree, CAST(s.freq AS BIGINT) AS frequency, 1 AS clusters, TRUE AS named_by_top_words, TRUE AS ids_by_size, TRUE AS alone_without_edge
+FROM nodes n JOIN net_stats s USING (word)
+""")
+def q_concept_cluster_checks(spark, sf_dir):
+    """What must hold of each word in ``concept_clusters``: one cluster, named
+    by its most frequent words, ids 0, 1 ... by size and first word, words
+    without an edge alone."""
     from pyspark.sql import Window
-    nodes, edges = _word_nodes(spark, sf_dir)
-    ids = nodes.select("word").withColumn("node", F.row_number().over(Window.orderBy("word")).cast("long"))
-    e = edges.join(ids.select(F.col("word").alias("w1"), F.col("node").alias("src")), "w1") \
-        .join(ids.select(F.col("word").alias("w2"), F.col("node").alias("dst")), "w2") \
-        .select("src", "dst", F.col("npmi").alias("weight"))
-    part = G.louvain(ids.select("node"), e, resolution=1.0)
-    part = part.join(ids, "node").select("word", "community")
-    return name_clusters(nodes, part)
+    t = _concept_clusters(spark, sf_dir)
+    sizes = t.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.min("word").alias("first"),
+                                        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "word"))), 1, 3), lambda x: x["word"]), " / ").alias("name"))
+    # a cluster is one row here: the word network has 500 words at most
+    sizes = sizes.withColumn("id", F.row_number().over(Window.orderBy(F.col("size").desc(), "first")) - 1)
+    own = t.groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("clusters"))
+    j = t.join(sizes, "cluster_id").join(own, "word")
+    return j.select("word", "degree", "frequency", "clusters", (F.col("cluster_name") == F.col("name")).alias("named_by_top_words"),
+                    (F.col("cluster_id") == F.col("id")).alias("ids_by_size"), ((F.col("degree") > 0) | (F.col("size") == 1)).alias("alone_without_edge"))
+
+
+def _doc_communities(spark, sf_dir) -> DataFrame:
+    """(doc_id, cluster_id, size): communities (resolution 0.8) of the document
+    kNN graph, numbered by size."""
+    def build():
+        from ..operators import communities as CM
+        from ..operators import graph as G
+        g, _ = _graph(spark, sf_dir)
+        nodes = sim_inputs(spark, sf_dir)[0].select(F.col("doc_id").alias("node"))
+        e = g.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("sim").alias("weight"))
+        num = G.number_communities(CM.louvain(nodes, e, resolution=0.8))
+        return as_table(num.select(F.col("node").alias("doc_id"), "cluster_id", "size"), "doc-communities")
+    return remembered(spark, sf_dir, "doc_communities", build)
 
 
 @query("doc_communities")
 def q_doc_communities(spark, sf_dir):
-    """Louvain communities (resolution 0.8) of the document kNN graph, named
-    by their 4 terms of highest mean TF-IDF (rows-only)."""
-    from ..operators import graph as G
+    """Communities of the document kNN graph, named by their 4 terms of highest
+    mean TF-IDF (rows-only, as ``concept_clusters``)."""
     from ..operators import tfidf as TF
-    c = sim_inputs(spark, sf_dir)[0]
-    g, _ = _graph(spark, sf_dir)
-    nodes = c.select(F.col("doc_id").alias("node"))
-    e = g.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("sim").alias("weight"))
-    num = G.number_communities(G.louvain(nodes, e, resolution=0.8))
-    members = num.select(F.col("node").alias("doc_id"), "cluster_id")
-    names = TF.group_mean_terms(vector_weights(spark, sf_dir), members, "cluster_id").withColumnRenamed("label", "cluster_name")
+    members = _doc_communities(spark, sf_dir).select("doc_id", "cluster_id", "size")
+    names = TF.group_mean_terms(vector_weights(spark, sf_dir), members.select("doc_id", "cluster_id"), "cluster_id").withColumnRenamed("label", "cluster_name")
     return members.join(names, "cluster_id", "left")
 
 
+@query("doc_community_table")
+def q_doc_community_table(spark, sf_dir):
+    """One row per document community: size, name and its two commonest
+    sources with their counts (ties by source)."""
+    from ..operators import topics as TP
+    named = q_doc_communities(spark, sf_dir)
+    src = named.join(sim_inputs(spark, sf_dir)[0].select("doc_id", "archive_folder"), "doc_id")
+    heads = named.groupBy("cluster_id").agg(F.first("size").alias("size"), F.first("cluster_name").alias("cluster_name"))
+    return heads.join(TP.top_values(src, "cluster_id", "archive_folder", 2).withColumnRenamed("top", "top_archives"), "cluster_id")
+
+
+@query("doc_community_checks", S.CORPUS + """
+SELECT doc_id, 1 AS communities, TRUE AS ids_by_size, TRUE AS size_counted, TRUE AS linked_inside FROM corpus
+""")
+def q_doc_community_checks(spark, sf_dir):
+    """What must hold of each document in ``doc_communities``: one community,
+    ids by falling size, the stated size, and a link inside its community
+    unless it is alone."""
+    t = _doc_communities(spark, sf_dir)
+    real = t.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("first"))
+    after = real.select((F.col("cluster_id") + 1).alias("cluster_id"), F.col("members").alias("before"), F.col("first").alias("first_before"))
+    g = _graph(spark, sf_dir)[0].select(F.explode(F.array(F.struct(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), F.struct(F.col("doc_b").alias("a"), F.col("doc_a").alias("b")))).alias("e")).select("e.*")
+    inside = g.join(t.select(F.col("doc_id").alias("a"), F.col("cluster_id").alias("ca")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("cluster_id").alias("cb")), "b")
+    inside = inside.where("ca = cb").select(F.col("a").alias("doc_id")).distinct().withColumn("has", F.lit(True))
+    own = t.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("communities"))
+    j = t.join(real, "cluster_id").join(after, "cluster_id", "left").join(inside, "doc_id", "left").join(own, "doc_id")
+    ordered = (F.col("cluster_id") == 0) | (F.col("before") > F.col("members")) | ((F.col("before") == F.col("members")) & (F.col("first_before") < F.col("first")))
+    return j.select("doc_id", "communities", F.coalesce(ordered, F.lit(False)).alias("ids_by_size"), (F.col("size") == F.col("members")).alias("size_counted"),
+                    (F.col("has").isNotNull() | (F.col("members") == 1)).alias("linked_inside"))
+
+
 # ---------------------------------------------------------------------------
 # M8: statistical models (rows-only checks: different algorithms or
 # iterative optimisers, so no SQL twin)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.operators import cooccur as CO
 from lexigraph.operators import embed as EM
+from lexigraph.operators import communities as CM
 from lexigraph.operators import graph as G
 from lexigraph.operators import lexicon as LX
 from lexigraph.operators import quality as QL
@@ -121,7 +122,7 @@ def test_modularity_two_triangles(spark):
 
 def test_louvain_finds_the_triangles(spark):
     nodes, edges = _triangles(spark)
-    part = {r["node"]: r["community"] for r in G.louvain(nodes, edges).collect()}
+    part = {r["node"]: r["community"] for r in CM.louvain(nodes, edges).collect()}
     assert part[1] == part[2] == part[3]
     assert part[4] == part[5] == part[6]
     assert part[1] != part[4]

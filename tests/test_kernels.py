@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.operators import embed as EM
+from lexigraph.operators import communities as CM
 from lexigraph.operators import graph as G
 from lexigraph.operators import quality as QL
 from lexigraph.operators import similarity as SM
@@ -95,7 +96,7 @@ def test_louvain_finds_the_ring_of_cliques(spark):
     edges = [(5 * c + i, 5 * c + j, 1.0) for c in range(12) for i in range(5) for j in range(i)]
     edges += [(5 * c, (5 * c + 6) % 60, 1.0) for c in range(12)]
     e, nodes = spark.createDataFrame(edges, "src long, dst long, weight double"), spark.range(61).select(F.col("id").alias("node"))
-    part = G.louvain(nodes, e)
+    part = CM.louvain(nodes, e)
     assert part.select("community").distinct().count() == 13 and part.count() == 61
     assert G.modularity(nodes, e, part).first()["q"] == pytest.approx(0.825758, abs=1e-6)
 
