@@ -45,8 +45,8 @@ ALPHABET = 257
 ORDER = 5
 #: Bytes of text in a piece.
 PIECE_BYTES = 32 << 20
-#: Symbols worked on at once.
-STEP = 1 << 21
+#: Symbols worked on at once, and key rows handed on at once.
+STEP = ROWS = 1 << 18
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Kinds of rows of a piece.
@@ -96,7 +96,7 @@ class Tally:
             both, n = np.unique(key.view(np.uint64) << np.uint64(1) | learned[doc], return_counts=True)
             self.parts.append(((both >> np.uint64(1)).view(np.int64), n * (both & np.uint64(1)).astype(np.int64)))
             self.held += len(both)
-            if self.held > 2 * len(self.parts[0][0]) + STEP:
+            if self.held > 2 * len(self.parts[0][0]) + (1 << 18):
                 self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,7 @@ def _pieces(docs: DataFrame, learn: Column, keep: list[str], order: int, piece_b
         def __init__(self, number: int, schema: pa.Schema):
             self.number, self.size, self.grams, self.words = number, 0, Tally(), Tally()
             self.sink = pa.BufferOutputStream()
-            self.out = pa.ipc.new_stream(self.sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            self.out = pa.ipc.new_stream(self.sink, schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6)))
 
         def add(self, batch: pa.RecordBatch, texts: list[bytes], size: int) -> None:
             learned = np.array(batch.column("_learn").to_pylist(), dtype=np.uint64)
@@ -136,7 +136,9 @@ def _pieces(docs: DataFrame, learn: Column, keep: list[str], order: int, piece_b
             self.out.close()
             for tally, sign in ((self.grams, 0), (self.words, WORDS)):
                 key, n = tally.merged()
-                yield rows(self.number, KEYS, key | sign, n, pa.nulls(len(key), pa.binary()))
+                for a in range(0, len(key), ROWS):
+                    part = key[a : a + ROWS]
+                    yield rows(self.number, KEYS, part | sign, n[a : a + ROWS], pa.nulls(len(part), pa.binary()))
             none = np.zeros(1, dtype=np.int64)
             yield rows(self.number, TEXTS, none, none, pa.array([self.sink.getvalue().to_pybytes()], pa.binary()))
 
@@ -247,7 +249,7 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, keep: li
     if not 1 <= order <= 6:
         raise ValueError("contexts of 1 to 6 symbols")
     keep = keep or ["doc_id"]
-    pieces = as_table(_pieces(docs, F.coalesce(learn, F.lit(False)), keep, order, piece_bytes), "ppm-pieces")
+    pieces = as_table(_pieces(docs, F.coalesce(learn, F.lit(False)), keep, order, piece_bytes), "ppm-pieces", compression="zstd")
     keys = pieces.where(F.col("kind") == KEYS).select("piece", "key", "n")
     # several pieces share a task, so that their common keys are added up before they travel
     near = keys.coalesce(-(-keys.rdd.getNumPartitions() // 4))
