@@ -10,17 +10,17 @@ A second set of registers, all weights 1, does so with the plain Jaccard.
 
 Texts of equal words are one item from the start.  Items whose registers of
 either set agree in a whole band share a bucket.  In each bucket all items are held
-against its first one; the verified links make components; buckets that
-still hold several components are searched in blocks for links between
-these, in rounds: the best partners of an item in each other component
-first, then the next ones, until no pair of two components is left.  Links
-are verified on the full shingle sets.
+against its first one; the verified links make components.  Buckets that
+still hold several components are searched in blocks: a first pass over
+registers finds the items that have a partner in another component, a second
+one, to which only the texts of these travel, verifies such pairs on the full
+shingle sets, most alike first, until each hangs together or has been
+verified.  Pairs never leave a block, only links do.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,58 +176,81 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float, broadcast_rows: i
     return map_arrow(both, run, pairs.select("a", "b").schema)
 
 
-def _cross_pairs(unsettled: DataFrame, m: int, band: int, least: float, block: int, ranks: tuple[int, int], only: DataFrame | None = None) -> DataFrame:
-    """(a, b) between components of the same bucket, registers of either set
-    agreeing in ``least`` or more: for each item, its partners from rank ``ranks[0]`` up to
-    ``ranks[1]`` (by agreement) in each other component of each block, left
-    out if the two hang together by ``now``.  A row without a pair (a, b null)
-    names a block (h, bl, bb) that has such pairs of a later rank; ``only``
-    gives the blocks to search, all if None.
-
-    Rows (h, band, id, comp, now, sig, n, n_left, is_left).  Items outside the
-    first item's component meet all items of the bucket, block by block.  A
-    pair is found in the first band that it agrees in, not again in others.
-    Ranks go by ``comp``, which stays the same from call to call.
-    """
+def _estimated(t: pa.Table, m: int, band: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left row, right row, agreement) of a block's pairs between different
+    components (``now``), registers of either set agreeing in ``least`` or
+    more.  A pair is found in the first band that it agrees in, not in others."""
+    side = t.column("l").to_numpy(zero_copy_only=False)
+    sig = _registers(t.column("sig").to_pylist(), m)
+    now, ids = t.column("now").to_numpy(), t.column("id").to_numpy()
+    lo, hi = np.flatnonzero(side), np.flatnonzero(~side)
+    out = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)]
+    for x in lo:
+        share = (sig[hi] == sig[x]).mean(axis=2).max(axis=1)
+        ok = np.flatnonzero((share >= least) & (now[hi] != now[x]) & (ids[hi] != ids[x]))
+        both = sig[hi[ok]][:, :, None] == sig[x][None, None]  # a bucket holds bands of both sets
+        ok = ok[both.reshape(len(ok), 4, m // band, band).all(axis=3).any(axis=1).argmax(axis=1) == t.column("band")[0].as_py()]
+        out.append((np.full(len(ok), x), hi[ok], share[ok]))
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
+def _blocks(unsettled: DataFrame, block: int) -> DataFrame:
+    """Rows (h, band, id, now, sig, n, n_left, is_left) dealt to the pairs of
+    blocks (bl, bb) of their bucket: items outside the head's component (l)
+    meet all items."""
     nb = F.ceil(F.col("n") / block).cast("int")
     nl = F.ceil(F.col("n_left") / block).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     seq = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cols = ["h", "band", "id", "comp", "now", "sig"]
+    cols = ["h", "band", "id", "now", "sig"]
     left = unsettled.where("is_left").select(*cols, F.lit(True).alias("l"), deal(nl).alias("bl"), seq(nb).alias("bb"))
     right = unsettled.select(*cols, F.lit(False).alias("l"), seq(nl).alias("bl"), deal(nb).alias("bb"))
+    return left.unionByName(right)
+
+
+def _cross_links(unsettled: DataFrame, docs: DataFrame, m: int, band: int, similarity: float, slack: float, block: int, broadcast_rows: int) -> DataFrame:
+    """(a, b): verified links between components of the same bucket, enough of
+    them to connect whatever a link connects."""
+    key, least = ["h", "bl", "bb"], similarity - slack
+    dealt = _blocks(unsettled, block)
+
+    def partnered(t: pa.Table) -> pa.Table:
+        x, y, _ = _estimated(t, m, band, least)
+        return t.take(pa.array(np.union1d(x, y).astype(np.int64)))
+
+    open_ = cut_lineage(dealt.groupBy(*key).applyInArrow(partnered, dealt.schema))
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    ids = cut_lineage(open_.select("id").distinct())
+    # ids alone, and only up to broadcast_rows of them; Spark's own choice beyond
+    texts = texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = open_.join(texts, F.col("doc_id") == F.col("id")).drop("doc_id")
+
+    def verify(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x, y, share = _estimated(t, m, band, least)
+        now, low, sets = t.column("now").to_pylist(), values(t, "text", b""), []
+        for i, j in slices(low):
+            d, s, c, _, _ = shingles(low[i:j])
+            at = np.searchsorted(d, np.arange(j - i + 1))
+            sets += [(s[at[k] : at[k + 1]], c[at[k] : at[k + 1]]) for k in range(j - i)]
+        root = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c] = root.get(root[c], root[c])
+            return c
+
+        links = []
+        for n in np.argsort(-share, kind="stable"):
+            a, b = find(now[x[n]]), find(now[y[n]])
+            if a != b and max(probability_jaccard(sets[x[n]], sets[y[n]])) >= similarity:
+                root[a] = b
+                links.append(n)
+        ids = t.column("id")
+        return pa.table({"a": ids.take(pa.array(x[links])), "b": ids.take(pa.array(y[links]))})
+
     kind = unsettled.schema["id"].dataType
-    low, high = ranks
-
-    def search(t: pa.Table) -> pa.Table:
-        side = t.column("l").to_numpy(zero_copy_only=False)
-        sig = _registers(t.column("sig").to_pylist(), m)
-        ids, comp, now, here = t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("now").to_numpy(), t.column("band")[0].as_py()
-        lo, hi = np.flatnonzero(side), np.flatnonzero(~side)
-        out, later = [], False
-        for x in lo:
-            share = (sig[hi] == sig[x]).mean(axis=2).max(axis=1)
-            ok = np.flatnonzero((share >= least) & (comp[hi] != comp[x]))
-            both = sig[hi[ok]][:, :, None] == sig[x][None, None]  # a bucket holds bands of both sets
-            ok = ok[both.reshape(len(ok), 4, m // band, band).all(axis=3).any(axis=1).argmax(axis=1) == here]
-            if len(ok):
-                top = pd.DataFrame({"c": comp[hi[ok]], "s": -share[ok], "i": ids[hi[ok]], "n": now[hi[ok]]}).sort_values(["c", "s", "i"])
-                rank = top.groupby("c").cumcount()
-                open_ = top["n"] != now[x]
-                later = later or bool((open_ & (rank >= high)).any())
-                out += [(min(ids[x], i), max(ids[x], i)) for i in top["i"][open_ & (rank >= low) & (rank < high)]]
-        key = [t.column(k)[0].as_py() for k in ("h", "bl", "bb")] if len(t) else []
-        n = len(out)
-        rows = {"a": [o[0] for o in out] + [None] * later, "b": [o[1] for o in out] + [None] * later}
-        rows = {k: pa.array(v, t.schema.field("id").type) for k, v in rows.items()}
-        rows |= {k: pa.array([None] * n + [v] * later, t.schema.field(k).type) for k, v in zip(("h", "bl", "bb"), key)}
-        return pa.table(rows)
-
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("h", T.LongType()), T.StructField("bl", T.IntegerType()), T.StructField("bb", T.IntegerType())])
-    rows = left.unionByName(right)
-    if only is not None:
-        rows = rows.join(only, ["h", "bl", "bb"], "left_semi")
-    return rows.groupBy("h", "bl", "bb").applyInArrow(search, schema).distinct()
+    return texts.groupBy(*key).applyInArrow(verify, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS, band: int = BAND, slack: float = 0.2,
@@ -269,30 +292,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
     nodes = items.select(F.col("id").alias("node"))
     comp = cut_lineage(connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
-    # buckets of three and more that hold several components
-    member = buckets.join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id")
-    first = F.min(F.struct("id", "comp"))
-    open_ = member.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), first.alias("f"))
-    open_ = open_.where((F.col("n") > 2) & (F.col("c0") != F.col("c1"))).select("h", "n", F.col("f.comp").alias("head"))
-    member = cut_lineage(member.join(open_, "h").withColumn("is_left", F.col("comp") != F.col("head")))
-    n_left = member.where("is_left").groupBy("h").agg(F.count(F.lit(1)).alias("n_left"))
-    member = member.join(n_left, "h")
-    # round by round over the ranks, until each estimated pair hangs together
-    # or has been verified
-    low, high, only = 0, 3, None
-    while True:
-        now = comp.select(F.col("node").alias("id"), F.col("component").alias("now"))
-        rows = member if only is None else member.join(only.select("h").distinct(), "h", "left_semi")
-        found = cut_lineage(_cross_pairs(rows.join(now, "id").join(own, "id"), m, band, similarity - slack, block, (low, high), only))
-        more = cut_lineage(found.where(F.col("a").isNotNull()).select("a", "b").join(near, ["a", "b"], "left_anti"))
-        new = None if more.isEmpty() else cut_lineage(_verified(more, docs, similarity, broadcast_rows))
-        if new is not None and not new.isEmpty():
-            links = links.unionByName(new)
-            comp = cut_lineage(connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        only = found.where(F.col("a").isNull()).select("h", "bl", "bb")
-        if only.isEmpty():
-            break
-        low, high = high, 4 * high
+    # buckets of three and more that hold several components; items outside
+    # the largest one look for links
+    member = buckets.join(comp.select(F.col("node").alias("id"), F.col("component").alias("now")), "id")
+    parts = member.groupBy("h", "now").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "now")).alias("f"))
+    open_ = open_.where((F.col("n") > 2) & (F.col("parts") > 1)).select("h", "n", (F.col("n") - F.col("f.n")).alias("n_left"), F.col("f.now").alias("head"))
+    rows = member.join(open_, "h").withColumn("is_left", F.col("now") != F.col("head")).join(own, "id")
+    new = cut_lineage(_cross_links(rows, docs, m, band, similarity, slack, block, broadcast_rows))
+    if not new.isEmpty():
+        between = new.join(comp.select(F.col("node").alias("a"), F.col("component").alias("src")), "a").join(comp.select(F.col("node").alias("b"), F.col("component").alias("dst")), "b")
+        merged = connected_components(between.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), between.select("src", "dst"))
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        comp = cut_lineage(comp.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     classes = items.select("k1", "k2", "id").join(comp, F.col("id") == F.col("node")).select("k1", "k2", "component")
     plain = sig.where(F.col("sig").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
     return worded.join(classes, ["k1", "k2"], "left").select("doc_id", F.col("component").alias("class_id")).unionByName(plain)
