@@ -76,12 +76,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.fast = _ranked(path)
+        # the library takes these strings in a text as single tokens
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without an end id."""
-        if self.fast is None or _LONG_BLANK.search(text):
+        if self.fast is None or _LONG_BLANK.search(text) or any(t in text for t in self.added):
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         return self.fast.encode_to_numpy(text).astype("<u4").tobytes()
 
