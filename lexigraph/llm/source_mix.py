@@ -144,9 +144,9 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     columns) per copy that the mix takes."""
     key = ["doc_id", "source", "size"]
     taken = cut_lineage(mix_sources(docs, **options).select(*key, "copies"))
-    if clash := {"size", "copies", "_nth", "_copy"} & set(docs.columns):
-        raise ValueError(f"rename the columns {sorted(clash)}")
-    rows = docs.withColumn("size", word_count(F.col("text")))
+    # the row is one column: no other column's name can clash
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select("doc_id", "source", "text", whole).withColumn("size", word_count(F.col("text")))
     taken = taken.where(F.col("copies") > 0)
     twins = not taken.groupBy(*key).count().where("count > 1").isEmpty()
     if twins:  # rows that share a key are told apart by a number; else it is 1
@@ -155,4 +155,4 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
         key = [*key, "_nth"]
     right = taken.select(*[F.col(c).alias(f"_r_{c}") for c in key], "copies")
     both = rows.join(right, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in key])
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[rows[c] for c in docs.columns])
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
