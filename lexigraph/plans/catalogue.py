@@ -760,6 +760,33 @@ def q_silhouette_overall(spark, sf_dir):
     return QL.overall_silhouette(_sil(spark, sf_dir)).select("n_points", "n_clusters", _R6("mean_silhouette"))
 
 
+@query("silhouette_linear", S.EMB + """,
+sz AS (SELECT label, count(*) AS n FROM e GROUP BY label HAVING count(*) >= 2),
+p AS (SELECT e.* FROM e JOIN sz USING (label)),
+m AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v) ** 2) / (count(*) - max(CASE WHEN a.label = b.label THEN 1 ELSE 0 END)) AS mean
+      FROM p a JOIN p b ON true GROUP BY 1, 2, 3),
+ab AS (SELECT vec_id, label, max(mean) FILTER (WHERE other = label) AS a, min(mean) FILTER (WHERE other <> label) AS b FROM m GROUP BY 1, 2)
+SELECT vec_id, label, round(CASE WHEN b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab
+""")
+def q_silhouette_linear(spark, sf_dir):
+    """Silhouette by squared distances from per-cluster sums: one pass, no
+    pairs of points."""
+    from ..operators import quality as QL
+    return QL.silhouette_squared(tables.read_table(spark, sf_dir, "embeddings")).select("vec_id", "label", _R6("silhouette"))
+
+
+@query("query_neighbours", S.EMB + """,
+s AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS rank FROM s)
+SELECT vec_id, neighbour, sim, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10
+""")
+def q_query_neighbours(spark, sf_dir):
+    """The 10 nearest embeddings of every twentieth one, among all."""
+    from ..operators import embed as EM
+    e = tables.read_table(spark, sf_dir, "embeddings")
+    return EM.nearest_to(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 10)
+
+
 @query("embedding_knn", S.EMB + """,
 s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS sim
       FROM e a JOIN e b ON a.vec_id <> b.vec_id),
@@ -1191,8 +1218,12 @@ def q_word2vec_neighbours(spark, sf_dir):
 def q_probe_neighbours(spark, sf_dir):
     """The 5 nearest words of the probe words (those in the vocabulary), and
     of the 20 most frequent words: the corpus may hold no probe word."""
-    top = [r["word"] for r in _top800(spark, sf_dir).limit(20).collect()]
-    return q_word2vec_neighbours(spark, sf_dir).where(F.col("word").isin([*fixed.PROBE_WORDS, *top]))
+    from ..operators import embed as EM
+    from pyspark.ml.functions import vector_to_array
+    vecs = _w2v(spark, sf_dir).getVectors().select("word", vector_to_array("vector").alias("v"))
+    top = _top800(spark, sf_dir).orderBy(F.col("frequency").desc(), "word").limit(20).select("word")
+    asked = vecs.join(F.broadcast(top), "word", "left_semi").union(vecs.where(F.col("word").isin(fixed.PROBE_WORDS))).dropDuplicates(["word"])
+    return EM.nearest_to(asked, vecs, "word", "v", 5)
 
 
 @query("concept_silhouettes")
