@@ -281,7 +281,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
     keys = F.transform(places, lambda i: F.struct((i % bands).alias("band"), F.xxhash64(i % bands, own_band(i)).alias("h")))
     buckets = items.select("id", F.inline(keys))
     heads = buckets.groupBy("h").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = buckets.join(heads, "h").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    shared = cut_lineage(buckets.join(heads, "h"))  # buckets of several items only
+    pairs = shared.where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
     own = items.select("id", "sig")
 
     def with_registers(p: DataFrame) -> DataFrame:
@@ -294,10 +295,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
 
     # buckets of three and more that hold several components; items outside
     # the largest one look for links
-    member = buckets.join(comp.select(F.col("node").alias("id"), F.col("component").alias("now")), "id")
+    member = shared.where("n > 2").select("h", "band", "id").join(comp.select(F.col("node").alias("id"), F.col("component").alias("now")), "id")
     parts = member.groupBy("h", "now").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "now")).alias("f"))
-    open_ = open_.where((F.col("n") > 2) & (F.col("parts") > 1)).select("h", "n", (F.col("n") - F.col("f.n")).alias("n_left"), F.col("f.now").alias("head"))
+    open_ = open_.where("parts > 1").select("h", "n", (F.col("n") - F.col("f.n")).alias("n_left"), F.col("f.now").alias("head"))
     rows = member.join(open_, "h").withColumn("is_left", F.col("now") != F.col("head")).join(own, "id")
     new = cut_lineage(_cross_links(rows, docs, m, band, similarity, slack, block, broadcast_rows))
     if not new.isEmpty():
