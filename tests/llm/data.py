@@ -48,6 +48,17 @@ def write_documents(folder, rows, extra=True):
     labels = {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "quality": pa.array([None if i % 7 == 0 else int(i % 5 > 0) for i in range(len(rows))], pa.int64()),
               "toxic": pa.array([None if i % 11 == 0 else int(i % 9 == 0) for i in range(len(rows))], pa.int64())}
     pq.write_table(pa.table(labels), f"{folder}/labels.parquet")
+    rng = random.Random(9)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(16)], i % 3) for i in range(0, 240 if rows else 0, 2)]
+    write_embeddings(folder, vectors + ([(301, None, 1), (303, [float("nan")] * 16, 2), (305, [0.5] * 16, None)] if rows else []))
+    return str(folder)
+
+
+def write_embeddings(folder, rows):
+    cols = list(zip(*rows)) if rows else [[]] * 3
+    table = {"vec_id": pa.array(cols[0], pa.int64()), "embedding": pa.array(cols[1], pa.list_(pa.float32())), "label": pa.array(cols[2], pa.int32())}
+    table |= {c: pa.array(["clash"] * len(rows), pa.string()) for c in (*CLASHES, "vector", "dim", "place", "error")}
+    pq.write_table(pa.table(table), f"{folder}/embeddings.parquet")
     return str(folder)
 
 

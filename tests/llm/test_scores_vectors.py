@@ -6,8 +6,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from lexigraph.llm import hard_negatives, ppm, vector_codes
 from lexigraph.llm.queries import ORACLE, QUERIES
 
 from ..oracle_check import compare
-from .data import CLASHES, awkward_documents
+from .data import awkward_documents, write_embeddings
 
 # -- PPM --------------------------------------------------------------------
 
@@ -125,14 +123,6 @@ def test_ppm_prefers_what_it_learned(spark):
 # -- vectors ----------------------------------------------------------------
 
 
-def write_vectors(folder, rows):
-    cols = list(zip(*rows)) if rows else [[]] * 3
-    table = {"vec_id": pa.array(cols[0], pa.int64()), "embedding": pa.array(cols[1], pa.list_(pa.float32())), "label": pa.array(cols[2], pa.int32())}
-    table |= {c: pa.array(["clash"] * len(rows), pa.string()) for c in (*CLASHES, "vector", "dim", "place", "error")}
-    pq.write_table(pa.table(table), f"{folder}/embeddings.parquet")
-    return str(folder)
-
-
 def awkward_vectors():
     rng = np.random.RandomState(2)
     nan, inf = float("nan"), float("inf")
@@ -145,7 +135,7 @@ def awkward_vectors():
 
 @pytest.fixture(scope="module")
 def vectors(tmp_path_factory):
-    return write_vectors(tmp_path_factory.mktemp("vectors"), awkward_vectors())
+    return write_embeddings(tmp_path_factory.mktemp("vectors"), awkward_vectors())
 
 
 @pytest.mark.parametrize("name", ["op12_vector_codes", "op13_hard_negatives"])
@@ -204,6 +194,6 @@ def test_hard_negatives_in_many_blocks_with_copies(spark):
 
 
 def test_no_vectors(spark, tmp_path):
-    folder = write_vectors(tmp_path, [])
+    folder = write_embeddings(tmp_path, [])
     for name in ("op12_vector_codes", "op13_hard_negatives"):
         assert QUERIES[name](spark, folder).count() == 0
