@@ -976,6 +976,35 @@ def q_topics_json(spark, sf_dir):
     return X.read_json(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema))
 
 
+@query("topics_json_array", ORACLE["topic_summary"])
+def q_topics_json_array(spark, sf_dir):
+    """The topic summary by topic number, as one JSON array, read again."""
+    from ..sources import export as X
+    path = _shared_path(spark, "topics-array.json")
+    s = q_topic_summary(spark, sf_dir)
+    X.write_json_array(s, path, table="topics_by_number")
+    return X.read_json_array(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema))
+
+
+@query("topic_scores_csv", ORACLE["lexicon_by_topic"])
+def q_topic_scores_csv(spark, sf_dir):
+    """The lexicon scores by topic as CSV, by rising mean valence, read again."""
+    from ..sources import export as X
+    path = _shared_path(spark, "topic_scores.csv")
+    s = q_lexicon_by_topic(spark, sf_dir)
+    X.write_csv(s, path, table="topic_scores")
+    return X.read_csv(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema))
+
+
+@query("documents_with_topics", S.ASSIGN + """
+SELECT c.doc_id, c.source_file, c.series, a.topic_num, a.topic FROM corpus c JOIN assign a USING (doc_id)
+""")
+def q_documents_with_topics(spark, sf_dir):
+    """Documents zipped with their topics; both tables must hold the same ids."""
+    from ..sources import export as X
+    return X.zipped(corpus(spark, sf_dir).select("doc_id", "source_file", "series"), topic_assign(spark, sf_dir).select("doc_id", "topic_num", "topic"), "doc_id")
+
+
 @query("lexicon_csv_scores", ORACLE["lexicon_scores"])
 def q_lexicon_csv_scores(spark, sf_dir):
     """Lexicon scores from a lexicon read from CSV."""
@@ -1195,6 +1224,69 @@ def q_lda_topics(spark, sf_dir):
     return assign.join(topics, "topic_num", "left").join(c.select("doc_id", "archive_folder", "series"), "doc_id")
 
 
+def _topic_model(spark, sf_dir):
+    """(documents, terms) of the variational topic model (15 topics) over
+    normalised tokens with the topic stop list."""
+    from ..operators import lda as LD
+
+    def build():
+        c = corpus(spark, sf_dir)
+        return LD.fit_topics(c.select("doc_id", T.remove_words(T.tokens_normalised("text"), fixed.stop_words("topics")).alias("tokens")))
+
+    return remembered(spark, sf_dir, "topic_model", build)
+
+
+def _lda_names(spark, sf_dir) -> DataFrame:
+    from ..operators import lda as LD
+    return LD.named_topics(_topic_model(spark, sf_dir)[1], fixed.EXTRA_STOP_WORDS["topics"])
+
+
+@query("lda_distributions")
+def q_lda_distributions(spark, sf_dir):
+    """The whole topic distribution of each document, its heaviest topic and
+    that topic's share, name and keywords (``lda_document_checks`` states in
+    SQL what must hold of it)."""
+    documents, _ = _topic_model(spark, sf_dir)
+    return documents.join(F.broadcast(_lda_names(spark, sf_dir)), "topic_num", "left") \
+        .select("doc_id", "topic_num", "topic", "keywords", F.array_max("topics").alias("share"), "topics")  # 15 names
+
+
+@query("lda_document_checks", S.CORPUS + """
+SELECT doc_id, 15 AS topics, TRUE AS sums_to_one, TRUE AS none_negative, TRUE AS heaviest_named FROM corpus
+""")
+def q_lda_document_checks(spark, sf_dir):
+    """What must hold of each document in ``lda_distributions``: 15 shares that
+    sum to 1, none negative, and the named topic is the first of the heaviest."""
+    d = q_lda_distributions(spark, sf_dir)
+    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+    return d.select("doc_id", F.size("topics").alias("topics"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (F.array_min("topics") >= 0).alias("none_negative"),
+                    ((F.array_position("topics", F.array_max("topics")) - 1 == F.col("topic_num")) & F.col("topic").isNotNull()).alias("heaviest_named"))
+
+
+@query("lda_vocabulary", S.CORPUS + """,
+lt AS (SELECT doc_id, unnest(list_distinct(""" + S.drop_words(S.tok_norm("text"), S.STOP_TOPICS) + """)) AS term FROM corpus),
+ld AS (SELECT term, count(*) AS df FROM lt GROUP BY term)
+SELECT term, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS term_idx, 15 AS topics, TRUE AS weights_positive, TRUE AS prior_positive
+FROM ld WHERE df >= 3 AND df <= 0.7 * (SELECT count(*) FROM corpus)
+ORDER BY df DESC, term LIMIT 100000
+""")
+def q_lda_vocabulary(spark, sf_dir):
+    """The terms of the topic model by document frequency, each with a weight
+    in every topic and a learned prior."""
+    _, terms = _topic_model(spark, sf_dir)
+    return terms.select("term", "term_idx", F.size("weights").alias("topics"), (F.array_min("weights") > 0).alias("weights_positive"), (F.col("eta") > 0).alias("prior_positive"))
+
+
+@query("lda_topic_totals", """SELECT CAST(unnest(range(15)) AS INTEGER) AS topic_num, 1.0 AS total_weight, 6 AS terms""")
+def q_lda_topic_totals(spark, sf_dir):
+    """The topics' weights sum to 1 over the vocabulary; each lists six terms."""
+    from ..operators import lda as LD
+    _, terms = _topic_model(spark, sf_dir)
+    total = terms.select(F.posexplode("weights").alias("topic_num", "w")).groupBy("topic_num").agg(F.round(F.sum("w"), 6).alias("total_weight"))
+    n = LD.topic_terms(terms, 6).groupBy("topic_num").agg(F.count(F.lit(1)).cast("int").alias("terms"))
+    return total.join(n, "topic_num")
+
+
 def _w2v(spark, sf_dir):
     from ..operators import embed as EM
     return remembered(spark, sf_dir, "word2vec", lambda: EM.train_word2vec(EM.sentence_tokens(corpus(spark, sf_dir))))
@@ -1293,6 +1385,138 @@ def q_density_match(spark, sf_dir):
     return TP.dominant_match(a.withColumnRenamed("topic", "density_topic"), "density_topic", "label")
 
 
+def _doc_density(spark, sf_dir) -> DataFrame:
+    """(doc_id, density_topic): density topics of the documents' SVD scores."""
+    from ..operators import topics as TP
+
+    def build():
+        points = _reduced(spark, sf_dir)[0].select("doc_id", F.col("svd").alias("vec"))
+        t = TP.density_topics(as_table(points, "svd-points"), id_col="doc_id", vec="vec")
+        return as_table(t.withColumnRenamed("topic", "density_topic"), "doc-density")
+
+    return remembered(spark, sf_dir, "doc_density", build)
+
+
+def _doc_topics(spark, sf_dir) -> DataFrame:
+    """(doc_id, density_topic, topic): the fitted density topics of documents,
+    reduced to 18 by average linkage of their class TF-IDF vectors; outliers
+    (-1) take no part and stay -1."""
+    from ..operators import linkage as LK
+
+    def build():
+        own = _doc_density(spark, sf_dir)
+        c = corpus(spark, sf_dir).select("doc_id", T.tokens_words("text").alias("tokens")).join(own.where("density_topic >= 0"), "doc_id")
+        nodes = own.where("density_topic >= 0").select(F.col("density_topic").alias("node")).distinct()
+        merges = LK.average_linkage(nodes, LK.class_similarities(c, "density_topic"))
+        groups = LK.cut_tree(nodes, merges, 18).select(F.col("node").alias("density_topic"), F.col("group").alias("topic"))
+        out = own.join(groups, "density_topic", "left").select("doc_id", "density_topic", F.coalesce("topic", "density_topic").alias("topic"))
+        return as_table(out, "doc-topics")
+
+    return remembered(spark, sf_dir, "doc_topics", build)
+
+
+def _doc_topic_names(spark, sf_dir) -> DataFrame:
+    """(topic, name): the four best class TF-IDF terms of each reduced topic."""
+    from ..operators import topics as TP
+
+    def build():
+        c = corpus(spark, sf_dir).select("doc_id", T.tokens_words("text").alias("tokens"))
+        best = TP.class_tfidf(_doc_topics(spark, sf_dir).join(c, "doc_id").select("topic", "tokens"), "topic", n_top=4)
+        names = best.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " / ").alias("name"))
+        return as_table(names.select("topic", F.when(F.col("topic") == -1, F.lit(fixed.OUTLIER_TOPIC_NAME)).otherwise(F.col("name")).alias("name")), "doc-topic-names")
+
+    return remembered(spark, sf_dir, "doc_topic_names", build)
+
+
+def _matched(spark, sf_dir) -> DataFrame:
+    """(doc_id, topic, lda_topic): the two fitted models, by document."""
+    lda = _topic_model(spark, sf_dir)[0].select("doc_id", F.col("topic_num").alias("lda_topic"))
+    return _doc_topics(spark, sf_dir).join(lda, "doc_id")
+
+
+@query("doc_topics")
+def q_doc_topics(spark, sf_dir):
+    """Density topics of the documents (SVD scores), reduced to 18 by average
+    linkage, with the names of the reduced topics."""
+    return _doc_topics(spark, sf_dir).join(F.broadcast(_doc_topic_names(spark, sf_dir)), "topic")  # 19 names at most, unless nothing alike was left to merge
+
+
+@query("doc_topic_info")
+def q_doc_topic_info(spark, sf_dir):
+    """The reduced document topics: documents, share, name, outlier topic."""
+    from ..operators import topics as TP
+    return TP.topic_info(_doc_topics(spark, sf_dir), _doc_topic_names(spark, sf_dir), outlier_name=fixed.OUTLIER_TOPIC_NAME)
+
+
+@query("doc_topic_crosstab")
+def q_doc_topic_crosstab(spark, sf_dir):
+    """Documents by density topic and LDA topic, with both names."""
+    from ..operators import topics as TP
+    ct = TP.crosstab(_matched(spark, sf_dir), "topic", "lda_topic")
+    lda = _lda_names(spark, sf_dir).select(F.col("topic_num").alias("lda_topic"), F.col("topic").alias("lda_name"))
+    return ct.join(_doc_topic_names(spark, sf_dir), "topic").join(lda, "lda_topic").select("topic", "name", "lda_topic", "lda_name", "n")
+
+
+@query("doc_topic_match")
+def q_doc_topic_match(spark, sf_dir):
+    """For each density topic of the documents, outliers among them, the LDA
+    topic that most of its documents carry, and their share in %."""
+    from ..operators import topics as TP
+    m = TP.dominant_match(_matched(spark, sf_dir), "topic", "lda_topic")
+    lda = _lda_names(spark, sf_dir).select(F.col("topic_num").alias("dominant_lda_topic"), F.col("topic").alias("lda_name"))
+    return m.join(_doc_topic_names(spark, sf_dir), "topic").join(lda, "dominant_lda_topic") \
+        .select("topic", "name", "n_a", "dominant_lda_topic", "lda_name", "n_match", "pct")
+
+
+@query("doc_topic_checks", S.CORPUS + """
+SELECT doc_id, 1 AS topics, TRUE AS at_most_18, TRUE AS outliers_stay, TRUE AS in_crosstab, TRUE AS match_is_most FROM corpus
+""")
+def q_doc_topic_checks(spark, sf_dir):
+    """What must hold of each document in ``doc_topics``: one topic, a fitted
+    topic in one reduced topic of 18 at most, outliers outliers still, a place
+    in the crosstab, and no LDA topic of its topic above the matched one."""
+    t = _doc_topics(spark, sf_dir)
+    homes = t.select("topic", "density_topic").distinct().groupBy("density_topic").agg(F.count(F.lit(1)).alias("homes"))
+    reduced = t.where("topic >= 0").agg(F.countDistinct("topic").alias("reduced"))
+    own = t.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("topics"))
+    ct = q_doc_topic_crosstab(spark, sf_dir).select("topic", "lda_topic", "n")
+    most = q_doc_topic_match(spark, sf_dir).select("topic", "n_match")
+    j = _matched(spark, sf_dir).join(own, "doc_id").join(homes, "density_topic").join(ct, ["topic", "lda_topic"], "left").join(most, "topic", "left")
+    j = j.join(F.broadcast(reduced))  # one row
+    return j.select("doc_id", "topics", ((F.col("homes") == 1) & (F.col("reduced") <= 18)).alias("at_most_18"), ((F.col("density_topic") == -1) == (F.col("topic") == -1)).alias("outliers_stay"),
+                    F.coalesce(F.col("n") > 0, F.lit(False)).alias("in_crosstab"), F.coalesce(F.col("n") <= F.col("n_match"), F.lit(False)).alias("match_is_most"))
+
+
+@query("reduced_lda_topics")
+def q_reduced_lda_topics(spark, sf_dir):
+    """The LDA topics that documents have, reduced to 10 by average linkage of
+    their class TF-IDF vectors: (lda_topic, topic, docs)."""
+    from ..operators import linkage as LK
+    own = _topic_model(spark, sf_dir)[0].select("doc_id", F.col("topic_num").alias("lda_topic"))
+    c = corpus(spark, sf_dir).select("doc_id", T.tokens_words("text").alias("tokens")).join(own, "doc_id")
+    sizes = own.groupBy("lda_topic").agg(F.count(F.lit(1)).alias("docs"))
+    nodes = as_table(sizes.select(F.col("lda_topic").alias("node")), "lda-topics")
+    groups = LK.cut_tree(nodes, LK.average_linkage(nodes, LK.class_similarities(c, "lda_topic")), 10)
+    return sizes.join(groups.select(F.col("node").alias("lda_topic"), F.col("group").alias("topic")), "lda_topic")
+
+
+@query("source_similarities", S.CORPUS + """,
+ct AS (SELECT source_file AS cls, unnest(""" + S.tok_words("text") + """) AS term FROM corpus),
+tf AS (SELECT cls, term, count(*) AS tf FROM ct GROUP BY 1, 2),
+ft AS (SELECT term, sum(tf) AS f FROM tf GROUP BY term),
+a AS (SELECT sum(tf) / count(DISTINCT cls) AS A FROM tf),
+sc AS (SELECT tf.cls, tf.term, tf.tf * ln(1 + a.A / ft.f) AS w FROM tf JOIN ft USING (term), a),
+u AS (SELECT cls, term, w / sqrt(sum(w * w) OVER (PARTITION BY cls)) AS w FROM sc)
+SELECT x.cls AS a, y.cls AS b, round(sum(x.w * y.w), 6) AS sim FROM u x JOIN u y ON x.term = y.term AND x.cls < y.cls GROUP BY 1, 2
+""")
+def q_source_similarities(spark, sf_dir):
+    """Cosine of the class TF-IDF vectors of the sources, the input of the
+    linkage."""
+    from ..operators import linkage as LK
+    c = corpus(spark, sf_dir).select("source_file", T.tokens_words("text").alias("tokens"))
+    return LK.class_similarities(c, "source_file").select("a", "b", _R6("sim"))
+
+
 @query("reduced_topics")
 def q_reduced_topics(spark, sf_dir):
     """Topic reduction: the 20 sources as initial topics, merged pairwise by
