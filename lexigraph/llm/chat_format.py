@@ -52,7 +52,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Input columns conv_id, turn, role, text; others are ignored.  Null text
     and null role: empty.  Null turn: first.  Equal turns are ordered by
     role, then text; repeated rows are turns of their own.  A null conv_id
-    is a conversation.  An empty table gives no row.
+    is a conversation.  An empty table gives no row.  Very long texts are
+    formatted whole: a conversation is one row.  Ignored columns may have any
+    name.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("s"))

@@ -226,7 +226,9 @@ def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
     first as many (or all) of the next document by descending doc_id, after
     the last the first.  Null text: empty.  Null doc_id: last in order.
     Rows of one doc_id follow each other by text.  A single document is its
-    own next.  An empty table gives no row.
+    own next.  An empty table gives no row.  Very long texts are digested
+    whole.  Repeated rows are rows of their own, with equal fingerprints.
+    Further columns, whatever their names, aren't looked at.
     """
     import hashlib
 

@@ -115,7 +115,9 @@ def resample(docs: DataFrame, labels: DataFrame, bits: int = 14, target_docs: in
     Equal draws are told apart by the id's hash, repeated rows are kept or
     not together, so that kept may exceed k by rows equal to the last one.
     No good label: every document with a word is kept.  An empty table
-    gives no row.
+    gives no row.  Very long texts are weighed whole, in slices cut between
+    words.  Further columns aren't looked at; those named in ``keep`` are
+    carried and must not have the name of a result.
     """
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.agg(F.count("quality").alias("n"), F.count(F.when(F.col("quality") == 1, 1)).alias("fine"), F.count(F.when(good, 1)).alias("good")).first()

@@ -240,7 +240,9 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     its text, modulo 5, is 0); lang, source and doc_id are no inputs of a
     prediction.  Null or letterless text: und, 0.  Null doc_id: held out.
     Repeated rows: predicted alike.  No row to learn from: und everywhere.
-    An empty table gives no row.
+    An empty table gives no row.  Very long texts are read whole, one after
+    another.  Equal probabilities: the first of the model's languages.
+    Further columns, whatever their names, aren't looked at.
     """
     model = train(docs.where(~held_out(F.col("doc_id"))), **options)
     return predict(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -224,7 +224,9 @@ def remove_lines(docs: DataFrame, least: int = 20, bound: int = 500_000, keep: l
     a word stay.  Null text: no lines, kept_text null.  Null doc_id: stays
     whole and removes nothing.  Repeated rows (equal doc_id and text) are
     one document; rows of one doc_id with different texts follow each other
-    by line number, then hash.  An empty table gives no row.
+    by line number, then hash.  An empty table gives no row.  Very long texts
+    and lines are read whole.  Further columns aren't looked at; those named in
+    ``keep`` are carried and must not have the name of a result.
     """
     d = docs.select("doc_id", "text", *(keep or [])).withColumn("mark", F.xxhash64("text"))
     own = d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "mark")

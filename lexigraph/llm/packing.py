@@ -201,7 +201,10 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
     window by who writes it, unless its length is a power of two.  Null and
     empty texts are one piece, the end id.  Null doc_id: passed through.
     Repeated rows are documents of their own.  Order of ties: by length,
-    content, doc_id.  An empty table gives no row.
+    content, doc_id.  An empty table gives no row.  Very long texts are cut
+    into full windows first; the ids of a shard's documents are in one task, so
+    its memory follows their length.  Further columns, whatever their names,
+    aren't looked at.
     """
     n = docs.count()
     d = tokenise(docs, vocabulary or default_vocabulary(), window, with_ids)

@@ -267,7 +267,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
     Texts without a word (null, empty, blank): each row is its own class.
     Fewer than five words: equal words only.  Null doc_id: class of its
     equal texts, else null.  Repeated rows, and rows of one doc_id: one class.  An empty table gives
-    no row.
+    no row.  Very long texts count whole.  Equal members of a class: the
+    smallest doc_id leads, so row order has no part.  Further columns, whatever
+    their names, aren't looked at.
     """
     sig = cut_lineage(signatures(docs, m))
     worded = sig.where(F.col("sig").isNotNull())
@@ -314,7 +316,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, m: int = REGISTERS
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near-duplicates: the rows whose doc_id leads its
-    class, repeated rows once.  Null doc_ids and texts without a word stay."""
+    class, repeated rows once.  Null doc_ids and texts without a word stay.
+    Rows of a leading doc_id with other texts stay, each text once.  Very long
+    texts count whole; an empty table gives no row.  Further columns are
+    carried; none may be called ``_id``."""
     led = near_duplicates(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), **options)
     led = led.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(led, F.col("doc_id") == F.col("_id"), "left_anti")

@@ -132,7 +132,13 @@ def judge(docs: DataFrame, reach: int = 3, min_docs: int = 100, keep: list[str]
     base_failed: under 10 words, or over a fifth of the words repeat.  kept:
     not base_failed and inside the fences of the row's group.  Null text is
     empty (0 words: base_failed).  Null lang or source is a group of its
-    own.  Repeated rows are judged alike.  An empty table gives no row.
+    own.  Repeated rows are judged alike.  An empty table gives no row.  Very
+    long texts are counted whole, in slices cut between words.  A value on a
+    fence is inside.  Further columns aren't looked at; those named in ``keep``
+    are carried and must not have the name of a signal or a result.
+
+    ``min_docs`` is part of the method: a group of fewer documents takes the
+    fences of its language, that of a small language those of the corpus.
     """
     s = cut_lineage(text_signals(docs, ["doc_id", "lang", "source", *(keep or [])]))
     f = fences(sketches(s), reach, min_docs)

@@ -72,7 +72,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 2, seed: st
 
     Null text: size 0, never taken.  Null source: a source of its own, last
     in order.  Null doc_id: an id like any other.  Repeated rows: each is
-    queued.  An empty table, or one without words: nothing is taken.
+    queued.  An empty table, or one without words: nothing is taken.  Very
+    long texts are counted whole.  Equal places in the queue: by doc_id, then
+    size.  Further columns aren't looked at; those in ``keep`` must not have
+    the name of a result (use :func:`apply_mix` for rows with any columns).
     Shuffle order depends on doc_id and ``seed`` only, so reruns agree.
     """
     h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
@@ -141,7 +144,11 @@ def _cut(rows: DataFrame, budget: int, bins: int):
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: a row of ``docs`` (doc_id, text, source and any other
-    columns) per copy that the mix takes."""
+    columns, whatever their names) per copy that the mix takes.
+
+    Nulls, empty and very long texts, repeated rows and ties: as in
+    :func:`mix_sources`; rows that share doc_id, source and size are told apart
+    by text.  An empty table gives no row."""
     key = ["doc_id", "source", "size"]
     taken = cut_lineage(mix_sources(docs, **options).select(*key, "copies"))
     # the row is one column: no other column's name can clash

@@ -197,7 +197,9 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, hot: in
     starts in a document of smaller doc_id, judged on the input.  Null text:
     no words.  Null doc_id: neither removes nor is removed.  Rows of one
     doc_id don't remove from each other.  Texts under k words stay whole.
-    An empty table gives no row.
+    An empty table gives no row.  Very long texts are read whole; of a long run
+    of one word that several documents share, a task holds every window (about
+    1.2 KB a word).  Further columns, whatever their names, aren't looked at.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     d = d.withColumn("mark", F.xxhash64("text")).where(F.col("doc_id").isNotNull())
