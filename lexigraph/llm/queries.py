@@ -187,7 +187,7 @@ def q_op7(spark, sf_dir):
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, regexp_matches(s, '[^\\x20\\x09-\\x0D]') AS solid FROM d),
 f AS (SELECT s, min((doc_id, line)) AS p FROM w WHERE solid GROUP BY s),
-h AS (SELECT s, p, length(s) AS n, unnest([length(s), length(s) - 1]) AS l FROM f WHERE length(s) >= 20),
+h AS (SELECT s, p, length(s) AS n, unnest([length(s), length(s) - 1]) AS l FROM f),
 k AS (SELECT *, unnest(['a' || left(s, CAST(l // 2 AS INT)), 'b' || right(s, CAST(l // 2 AS INT))]) AS half FROM h),
 c AS (SELECT DISTINCT a.s AS s, a.p AS p, b.s AS t, a.n AS n, b.n AS m FROM k a JOIN k b ON a.l = b.l AND a.half = b.half AND b.p < a.p AND least(a.n, b.n) = a.l),
 e AS (SELECT DISTINCT s FROM c WHERE
