@@ -1,5 +1,6 @@
 """Texts are tokenised once, lengths are taken once for each row, windows once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
@@ -8,6 +9,7 @@ from lexigraph.operators import cooccur as CO
 from lexigraph.operators import embed as EM
 from lexigraph.operators import similarity as SM
 from lexigraph.operators import tfidf as TF
+from lexigraph.operators import topics as TP
 
 
 def _plan(df) -> str:
@@ -48,3 +50,31 @@ def test_window_counts_equal_separate_counts(spark):
     assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, CO.pair_counts(win).collect()))
     assert sorted(map(tuple, anchors.collect())) == sorted(map(tuple, CO.anchor_counts(win).collect()))
     assert pairs.where(F.col("w1") >= F.col("w2")).isEmpty()
+
+
+def test_sentences_and_class_counts_tokenise_once(spark):
+    docs = spark.createDataFrame([(1, "x", "alpha beta gamma. delta\nalpha beta delta gamma"), (2, "y", None), (3, None, "alpha alpha")], "doc_id long, source string, text string")
+    s = EM.sentence_tokens(docs, stop=[])
+    assert _plan(s).count("regexp_extract_all") == 1
+    assert sorted((r["doc_id"], r["tokens"]) for r in s.select("doc_id", "tokens").collect()) == [(1, ["alpha", "beta", "delta", "gamma"]), (1, ["alpha", "beta", "gamma"])]
+    c = TP.class_counts(docs.select("source", T.tokens_words("text").alias("tokens")), "source")
+    assert _plan(c).count("regexp_extract_all") == 1
+    assert {(r["source"], r["term"]): r["tf"] for r in c.collect()} == {("x", "alpha"): 2, ("x", "beta"): 2, ("x", "gamma"): 2, ("x", "delta"): 2, (None, "alpha"): 2}
+
+
+def test_block_pairs_do_not_shuffle_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 4))
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(60, [0.0] * 4)], "id long, v array<double>")
+    u = EM.unit_vectors(points, "id", "v")
+    found = SM.block_products(u, 4, 61, "topk", k=3, floor=-2.0, n_shared=0, block_docs=9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Generate" not in plan  # no vector is copied for the blocks it meets
+    blocks = SM.packed_blocks(u, 61, block_docs=9)
+    assert blocks.count() > 6 and blocks.select("blk").distinct().count() == blocks.count()
+    near = {(r["id"], r["rank"]): r["neighbour"] for r in EM.nearest(points, "id", "v", 3, block_docs=9).collect()}
+    unit = np.vstack([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((1, 4))])
+    sim = np.round(unit @ unit.T, 6)
+    for i in range(61):
+        best = sorted((j for j in range(61) if j != i), key=lambda j: (-sim[i, j], j))[:3]
+        assert [near[i, r] for r in (1, 2, 3)] == best
