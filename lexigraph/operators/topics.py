@@ -52,15 +52,26 @@ def dominant_match(df: DataFrame, a: str, b: str) -> DataFrame:
         (F.lit(100.0) * F.col("n") / F.col("n_a")).alias("pct"))
 
 
+def class_counts(docs: DataFrame, cls: str, tokens: str = "tokens") -> DataFrame:
+    """(cls, term, tf): how often each class has each term.  The position
+    keeps null terms apart from empty lists; an inner ``explode`` would run the
+    tokeniser a second time (see ``arrays.explode_rows``)."""
+    rows = docs.select(cls, F.posexplode_outer(tokens).alias("_p", "term")).where(F.col("_p").isNotNull())
+    return rows.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def class_tfidf(docs: DataFrame, cls: str, tokens: str = "tokens", n_top: int = 10) -> DataFrame:
+    """The top class-based TF-IDF terms (:func:`best_terms`) of documents."""
+    return best_terms(class_counts(docs, cls, tokens), cls, n_top)
+
+
+def best_terms(tf: DataFrame, cls: str, n_top: int = 10) -> DataFrame:
     """Class-based TF-IDF: score(t, c) = tf(t, c) * ln(1 + A / f(t)).
 
     tf(t, c): count of t in class c; f(t): count of t over all classes;
     A: mean number of tokens per class.  Top ``n_top`` per class (score
     desc, term asc).
     """
-    rows = docs.select(cls, F.explode(tokens).alias("term"))
-    tf = rows.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("tf"))
     ft = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     A = tf.agg((F.sum("tf") / F.countDistinct(cls)).alias("A")).first()["A"] or 0.0
     s = tf.join(ft, "term").withColumn("score", F.col("tf") * F.log1p(F.lit(float(A)) / F.col("f")))
@@ -165,18 +176,22 @@ def _ctfidf_unit(tf: DataFrame, cls: str) -> DataFrame:
 
 
 def reduce_topics(docs: DataFrame, cls: str, target: int, tokens: str = "tokens") -> DataFrame:
+    """The merges of :func:`merge_classes` for the classes of documents."""
+    return merge_classes(cut_lineage(class_counts(docs, cls, tokens)), cls, target)
+
+
+def merge_classes(tf0: DataFrame, cls: str, target: int) -> DataFrame:
     """(cls, topic): merge the two most similar topics (cosine of class
     TF-IDF vectors; ties: smaller ids) until ``target`` remain.  Merged
     topics pool their term counts and take the smaller id.  A driver loop
     over small DataFrames (one row per topic and term); each step is a
-    self-join on term of the current topic vectors."""
-    rows = docs.select(cls, F.explode(tokens).alias("term"))
-    tf0 = cut_lineage(rows.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("tf")))
+    self-join on term of the current topic vectors.  ``tf0`` is (cls, term,
+    tf), read in every step."""
     mapping = cut_lineage(tf0.select(cls).distinct().withColumn("topic", F.col(cls)))
     # each step leaves one topic less
     while mapping.select("topic").distinct().count() > target:
-        tf = tf0.join(mapping, cls).groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
-        u = _ctfidf_unit(tf, "topic")
+        tf = cut_lineage(tf0.join(mapping, cls).groupBy("topic", "term").agg(F.sum("tf").alias("tf")))
+        u = cut_lineage(_ctfidf_unit(tf, "topic"))
         a = u.select(F.col("topic").alias("t1"), "term", F.col("w").alias("w1"))
         b = u.select(F.col("topic").alias("t2"), "term", F.col("w").alias("w2"))
         sims = a.join(b, "term").where(F.col("t1") < F.col("t2")).groupBy("t1", "t2") \
