@@ -57,6 +57,17 @@ def test_lda_parts_two_vocabularies(spark):
     assert all(w[0] == words[got[0]][0] for w in words[got[0]].split(", ") if w)
 
 
+def test_lda_reads_its_vocabulary_once(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizerModel
+    read, plain = [], CountVectorizerModel.vocabulary.fget
+    monkeypatch.setattr(CountVectorizerModel, "vocabulary", property(lambda cv: read.append(1) or plain(cv)))
+    rng = np.random.default_rng(2)
+    docs = [(i, [f"{'pq'[i % 2] * 3}{rng.integers(12)}" for _ in range(40)]) for i in range(20)]
+    _, topics = TP.lda_topics(spark.createDataFrame(docs, "doc_id long, tokens array<string>"), k=2, passes=2, max_df=0.9)
+    assert sum(len(r["keywords"].split(", ")) for r in topics.collect()) == 10
+    assert len(read) == 1
+
+
 def test_density_topics_find_blobs_and_outliers(spark):
     rng = np.random.default_rng(5)
     blobs = np.concatenate([rng.normal(c, 0.05, (20, 4)) for c in (0.0, 3.0)])
